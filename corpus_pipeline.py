@@ -1,12 +1,80 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline: five stages over the documents table, each an operator of wayfare.llm whose decisions take effect.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.llm import langid, mixing, neardup, secrets
+from wayfare.llm.common import shared_dir, table
+from wayfare.llm.decontaminate import decontaminate
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that are null or have no letter, so that no language can be told. Without any labelled row there is
+    no model, and nothing is rejected."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS)
+    return langid.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class of near duplicates (five-word shingles, similarity 0.8 or more), and one of
+    the rows that share a doc_id. Rows without a doc_id can't be named, and stay."""
+    found = neardup.near_duplicates(docs, size=5, percent=80)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    place = left.withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY n_chars, source, lang)"))
+    return place.where("place = 1 OR doc_id IS NULL").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or all words of a shorter one."""
+    found = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with each secret replaced by a mark."""
+    found = secrets.find_secrets(docs.select(*COLUMNS))
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    changed = found.withColumn("text", text)
+    return changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The order in which to read what is left: a row for each reading of a document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+]
 
-STAGES: list = []
+#: Hashing, EM and floating-point bisection have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages; what each of them keeps is written to the shared checkpoint folder, and read by the next."""
+    top = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{top}/{i}-{name}")
+            docs = spark.read.parquet(f"{top}/{i}-{name}")
+    return docs

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task works on at a time, so that its arrays stay small.
 CHUNK_BYTES = 1 << 20
@@ -81,5 +83,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widened(docs: DataFrame, added: str) -> tuple[list[str], StructType, pa.Schema]:
+    """The columns of docs that stay when those of the DDL string are added (or replaced), and the schema with both."""
+    new = StructType.fromDDL(added)
+    kept = [c for c in docs.columns if c not in new.names]
+    both = StructType([*(docs.schema[c] for c in kept), *new])
+    return kept, both, to_arrow_schema(both)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

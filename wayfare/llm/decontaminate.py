@@ -80,11 +80,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(tables: Broadcast | None, keep: list[str], kind: pa.Schema):
+def _searcher(tables: Broadcast | None, kept: list[str], kind: pa.Schema, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.chunks(batches, "text"):
             n_words, hits, items = [], [], []
-            before = [batch.column(k).to_pylist() for k in ("hits", "items")] if "hits" in batch.schema.names else None
+            before = [batch.column(k).to_pylist() for k in ("hits", "items")] if again else None
             for i, text in enumerate(texts):
                 found = common.words(text)
                 spans = [(x["start"], x["end"]) for x in before[0][i]] if before else []
@@ -96,35 +96,31 @@ def _searcher(tables: Broadcast | None, keep: list[str], kind: pa.Schema):
                 n_words.append(len(found))
                 hits.append([{"start": a, "end": b} for a, b in _merged(spans)])
                 items.append(sorted(of))
-            columns = [batch.column(k) for k in keep] + [n_words, hits, items]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) if isinstance(x, list) else x.cast(t.type) for x, t in zip(columns, kind, strict=True)], schema=kind)
+            new = [pa.array(x, kind.field(k).type) for k, x in (("n_words", n_words), ("hits", hits), ("items", items))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new], schema=kind)
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000) -> DataFrame:
-    """Occurrences of benchmark windows in documents: a row (doc_id, n_words, hits, items) for each row of docs.
+    """docs with the columns n_words, hits and items (replaced, if docs has them).
 
-    hits are the merged word spans [start, end) inside an occurrence; items the ids of the items with an occurring
-    window. The windows are read as a stream and broadcast in blocks of at most block_windows, whatever the size of
-    the benchmark; each block is one pass over the documents, and a pass adds to what the one before it found.
+    hits are the merged word spans [start, end) inside an occurrence of a window; items the ids of the items with an
+    occurring window. The windows are read as a stream and broadcast in blocks of at most block_windows, whatever the
+    size of the benchmark; each block is one pass over the documents, and a pass adds to what the one before it found.
 
     A null or empty text has no words and no hits. An item without words matches nothing; one with a null id marks
-    words but isn't listed. Repeated rows of docs are judged each. Other columns of either table aren't read.
+    words but isn't listed. Repeated rows of docs are judged each. All other columns of docs are kept; those of the
+    benchmark besides item_id and text aren't read.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sc, out, again = docs.sparkSession.sparkContext, docs.withColumn("text", F.col("text").cast("string")), False
+    kept, schema, kind = common.widened(out, HITS)
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
     blocks = _blocks(rows, window, block_windows)
     block = next(blocks, None)
     while True:
         following = next(blocks, None)
-        keep = ["doc_id"] if following is None else ["doc_id", "text"]
-        schema = ", ".join(f"{k} {'long' if k == 'doc_id' else 'string'}" for k in keep) + ", " + HITS
-        kind = to_arrow_schema(spark.createDataFrame([], schema).schema)
-        out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(block) if block else None, keep, kind), schema)
+        out = out.mapInArrow(_searcher(sc.broadcast(block) if block else None, kept, kind, again), schema)
         if following is None:
             return out
-        out, block = common.cut(out), following
+        out, block, again = common.cut(out), following, True

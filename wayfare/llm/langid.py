@@ -127,20 +127,22 @@ def has_letter(text: bytes | None) -> bool:
     return not kept.isspace() and (not kept.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))) or any(97 <= b <= 122 for b in kept[:64]) or any(97 <= b <= 122 for b in set(kept)))
 
 
+FOUND = "lang_pred string, score double, languages array<struct<lang: string, share: double>>"
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, languages) for each row of docs, from its whole text alone.
+    """docs with the columns lang_pred, score and languages (replaced, if docs has them), from the whole text alone.
 
     A document is cut into segments of 64 bytes, each written in one language of the document's mixture. EM gives the
     shares of all languages; then the k most used ones, for k from 1 to 5, are fitted again, and the k with the largest
     log-likelihood less a penalty for each further language is taken. languages are the (lang, share) of that set,
     largest first; lang_pred is the first of them and score its share. A text that is null or has no letter gets `und`
-    with score 0 and no languages; if no language was learned, every text does.
+    with score 0 and no languages; if no language was learned, every text does. Repeated rows are judged each.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    most = max(1 << 16, common.CHUNK_BYTES * 4 // max(4, len(model.languages)))
-    pair = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-    kind = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pair)])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    most = min(common.CHUNK_BYTES, max(1 << 16, common.CHUNK_BYTES * 4 // max(4, len(model.languages))))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kept, schema, kind = common.widened(docs, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,7 +154,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 for i, o, s in zip(at, order.tolist(), shares, strict=True):
                     sets[i] = [{"lang": model.languages[j], "share": min(1.0, float(s[j]))} for j in o[:MOST] if s[j] > 0]
                     pred[i], score[i] = sets[i][0]["lang"], sets[i][0]["share"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array(sets, pair)], schema=kind)
+            new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind.field("languages").type)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], schema=kind)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    return docs.mapInArrow(run, schema)

@@ -34,5 +34,22 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FR
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS t(i)),
+least AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s),
+gone AS (SELECT doc_id, i FROM s JOIN least USING (s) WHERE doc_id > least),
+edge AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS fresh
+         FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, run),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+        UNION ALL SELECT d.doc_id, coalesce(max(b), 0), len(any_value(h)) // 2 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
 }
