@@ -183,7 +183,8 @@ def _rises(ts: np.ndarray, value: np.ndarray, start: int, end: int, rise: float,
 
 
 def _segments(ranges: list[tuple[int, int]], subject: str) -> pd.DataFrame:
-    return pd.DataFrame({"subject": [subject] * len(ranges), "start_us": [int(r[0]) for r in ranges], "end_us": [int(r[1]) for r in ranges]})
+    subjects = pd.Series([subject] * len(ranges), dtype=object)
+    return pd.DataFrame({"subject": subjects, "start_us": np.array([r[0] for r in ranges], np.int64), "end_us": np.array([r[1] for r in ranges], np.int64)})
 
 
 def refuel(samples: DataFrame, start: int, end: int, config: Config) -> DataFrame:
