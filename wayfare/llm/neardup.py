@@ -127,7 +127,7 @@ def _linker(size: int, percent: int):
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def spanned(reps: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        order = sorted({r: i for i, r in enumerate(reps)}.values())
+        order = sorted({(r, x.tobytes()): i for i, (r, x) in enumerate(zip(reps, sets, strict=True))}.values())
         reps, labels, sets = [reps[i] for i in order], [labels[i] for i in order], [sets[i] for i in order]
         if len(sets) < 2:
             return
@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
        of nodes that are candidates and in different classes so far.
 
     Words are split at ASCII white space, A-Z lowered. A null or empty text has no shingles, is linked to nothing and
-    kept; a text of fewer words than size is one shingle. Repeated rows give repeated result rows. Other columns aren't
+    kept; a text of fewer words than size is one shingle. Repeated rows give repeated result rows; rows of one doc_id
+    are one document, also if their texts differ. A null doc_id has a null component, or that of its copies. Other columns aren't
     read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
