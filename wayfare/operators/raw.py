@@ -92,6 +92,14 @@ def payloads(raw: DataFrame, indexes: DataFrame) -> DataFrame:
     return out.withColumn("data", F.coalesce("exact", "newest")).drop("exact", "newest")
 
 
+def with_blobs(raw: DataFrame, files: DataFrame, most: int = 50 << 20) -> DataFrame:
+    """raw with content: of the file (path, length, content: what the binaryFile source gives) that data_index_key is the
+    end of; null where there is none, or it is too large. Only the keys in use are joined."""
+    key = F.regexp_extract("path", r"(cloudevent/blobs/.*)$", 1)
+    held = files.where(F.col("length") <= most).select(key.alias("data_index_key"), "content").where("data_index_key <> ''")
+    return raw.join(held, "data_index_key", "left")
+
+
 def blob(content, key, magic: bytes = b"DBE1"):
     """The plaintext of an AES-GCM blob: a magic word, nonce, text and tag, with the object's key as associated data.
     Content without the magic word is plain. `key` is a pair of Columns (secret, object key)."""

@@ -92,6 +92,30 @@ def repaired(stored: DataFrame, signals: DataFrame, late: DataFrame, us: int) ->
     return stored.join(own, "subject", "left_anti").unionByName(again.select(*stored.columns))
 
 
+def flushed(stored: DataFrame, signals: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The rollup with the dirty subjects (subject) computed again from all signals."""
+    own = dirty.select("subject").distinct()
+    again = full(signals.join(own, "subject", "left_semi"))
+    return stored.join(own, "subject", "left_anti").unionByName(again.select(*stored.columns))
+
+
+def late_subjects(batch: DataFrame, us: int) -> DataFrame:
+    """Subjects of a batch with rows from before the watermark: what `repaired` has to compute again."""
+    return batch.where(F.col("timestamp") < at(us)).select("subject").distinct()
+
+
+def boundary_us(now: int, watermark: int, delay: int = 12_600_000_000) -> int | None:
+    """The next watermark: the last midnight (UTC) that is `delay` microseconds past, if it is later than the old one."""
+    midnight = (now - delay) // 86_400_000_000 * 86_400_000_000
+    return midnight if midnight > watermark else None
+
+
+def sound(rollup: DataFrame) -> bool:
+    """Whether there is one row for each key: asked before a rebuilt rollup takes the place of another."""
+    row = cardinality(rollup).first()
+    return row["n_rows"] == row["n_keys"]
+
+
 def served_summaries(stored: DataFrame, signals: DataFrame, us: int) -> DataFrame:
     """(subject, name, count, first_seen, last_seen): the rollup below the watermark, and the tail from it."""
     tail = latest.summaries(signals.where(F.col("timestamp") >= at(us)))

@@ -251,6 +251,23 @@ UNION ALL SELECT subject, cloud_event_id, 'currentLocationCoordinates', timestam
     "late_subject_repair": _with(_us(_rollup(f"(SELECT * FROM sig WHERE {BELOW})"), *ROLLUP_US)),
     "latest_fold": _with(_us(f"SELECT * EXCLUDE (count, first_seen, last_seen) FROM {_rollup('sig')}", "timestamp", "loc_ts")),
     "privilege_filtered_snapshot": _with(f"SELECT subject, name, epoch_us(coalesce(loc_ts, timestamp)) AS timestamp FROM ({LATEST}) WHERE name IN ('error', 'signup')"),
+    "segment_events_zero_filled": _with(
+        """SELECT s.subject, s.seg_idx, n.name, (SELECT count(*) FROM ev WHERE ev.subject = s.subject AND ev.name = n.name AND epoch_us(timestamp) >= s.start_us AND epoch_us(timestamp) < s.end_us) AS count
+ FROM (SELECT *, (row_number() OVER (PARTITION BY subject ORDER BY start_us) - 1)::INTEGER AS seg_idx FROM seg) s, (VALUES ('signup'), ('purchase')) AS n(name)""",
+        *FREQUENCY,
+    ),
+    "segment_locations": _with(
+        f"""SELECT subject, seg_idx, {', '.join(f"coalesce({w}.loc_{c}, 0)::DOUBLE AS {n}_{c}" for n, w in (("start", "coalesce_a"), ("end", "coalesce_b")) for c in ("lat", "lon"))} FROM (
+ SELECT s.subject, s.seg_idx, CASE WHEN {{0}} THEN a1 ELSE a2 END AS coalesce_a, CASE WHEN {{1}} THEN b1 ELSE b2 END AS coalesce_b FROM (SELECT *,
+ (SELECT {{{{'loc_lat': arg_min(loc_lat, timestamp), 'loc_lon': arg_min(loc_lon, timestamp)}}}} FROM ded WHERE ded.subject = q.subject AND name = 'view' AND epoch_us(timestamp) >= start_us AND epoch_us(timestamp) < end_us) AS a1,
+ (SELECT {{{{'loc_lat': arg_max(loc_lat, timestamp), 'loc_lon': arg_max(loc_lon, timestamp)}}}} FROM ded WHERE ded.subject = q.subject AND name = 'view' AND epoch_us(timestamp) >= start_us AND epoch_us(timestamp) < end_us) AS b1,
+ (SELECT {{{{'loc_lat': arg_max(loc_lat, timestamp), 'loc_lon': arg_max(loc_lon, timestamp)}}}} FROM fx WHERE fx.subject = q.subject AND epoch_us(timestamp) <= start_us) AS a2,
+ (SELECT {{{{'loc_lat': arg_max(loc_lat, timestamp), 'loc_lon': arg_max(loc_lon, timestamp)}}}} FROM fx WHERE fx.subject = q.subject AND epoch_us(timestamp) <= end_us) AS b2
+ FROM (SELECT *, (row_number() OVER (PARTITION BY subject ORDER BY start_us) - 1)::INTEGER AS seg_idx FROM seg) q) s)""".replace("{{", "{").replace("}}", "}").replace("{0}", "a1.loc_lat <> 0 OR a1.loc_lon <> 0").replace("{1}", "b1.loc_lat <> 0 OR b1.loc_lon <> 0"),
+        *FREQUENCY, ASOF,
+    ),
+    "rollup_flushed": _with(_us(_rollup("sig"), *ROLLUP_US)),
+    "coarse_locations": _with(f"SELECT subject, (floor(loc_lat / 5) + 0.5) * 5 AS lat, (floor(loc_lon / 5) + 0.5) * 5 AS lon FROM ({LATEST}) WHERE name = 'view' AND loc_ts IS NOT NULL"),
     "subject_buckets": _with(
         """SELECT subject, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, len(subject) + 1), lambda i: ascii(subject[i])::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 256)::INTEGER AS subject_bucket
  FROM (SELECT DISTINCT subject FROM sig)"""

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.filters import ArrayFilter, EventFilter, FloatFilter, LocationFilter, StringFilter
-from wayfare.functions.geo import has_fix
+from wayfare.functions.geo import coarse_cell, has_fix
 from wayfare.functions.hashing import fnv_bucket
 from wayfare.functions.timing import at, micros
-from wayfare.operators import aggregate, asof, decode, dedup, events, latest, raw, rollup, segments
+from wayfare.operators import aggregate, asof, decode, dedup, enrich, events, latest, raw, rollup, segments
 from wayfare.operators.aggregate import Request
 from wayfare.operators.raw import Search
 from wayfare.schema import LOCATION, FloatAgg, LocationAgg, StringAgg
@@ -476,3 +476,33 @@ def blob_roundtrip(spark, d):
     sealed = F.concat(F.encode(F.lit("DBE1"), "UTF-8"), F.aes_encrypt("data", secret, F.lit("GCM"), F.lit("DEFAULT"), F.encode(F.lit("123456789012"), "UTF-8"), key))
     stored = F.when(F.col("time") % 3 == 0, F.col("data")).otherwise(sealed)
     return rows.withColumn("stored", stored).select("subject", "id", "type", "time", F.decode(raw.blob(F.col("stored"), (secret, key)), "UTF-8").alias("data"))
+
+
+@query
+def segment_events_zero_filled(spark, d):
+    ranges = segments.as_ranges(segments.frequency(fixtures.signals(spark, d), START, END, FEW, END + DAY), END)
+    names = ["signup", "purchase"]
+    return enrich.event_summary(ranges, events.counts_by_range(fixtures.events(spark, d), ranges, names), names)
+
+
+@query
+def segment_locations(spark, d):
+    s = fixtures.signals(spark, d)
+    ranges = segments.as_ranges(segments.frequency(s, START, END, FEW, END + DAY), END)
+    found = aggregate.by_range(s, [Request("view", LocationAgg.FIRST), Request("view", LocationAgg.LAST)], ranges)
+    side = lambda i: found.where(F.col("signal_index") == i)
+    return enrich.boundary_locations(ranges, side(0), side(1), s, ["view"])
+
+
+@query
+def rollup_flushed(spark, d):
+    s = fixtures.signals(spark, d)
+    dirty = rollup.late_subjects(s.where("name = 'error' AND subject IN ('did:test:3', 'did:test:4')"), WATERMARK)
+    stale = rollup.full(s.where("NOT (subject IN ('did:test:3', 'did:test:4') AND name = 'view')"))
+    return _rollup(rollup.flushed(stale, s, dirty))
+
+
+@query
+def coarse_locations(spark, d):
+    lat, lon = coarse_cell(F.col("loc_lat"), F.col("loc_lon"), 5.0)
+    return latest.locations(fixtures.signals(spark, d), ["view"]).select("subject", lat.alias("lat"), lon.alias("lon"))
