@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -78,9 +81,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later reads need no executor that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table in the shared checkpoint folder and read again: later reads need no executor that made it,
+    and the planner knows its size (a checkpoint keeps the estimate of the plan that made it, which joins multiply from
+    round to round). The tables are dropped when the driver's process ends, if drop() hasn't done so."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _CUTS:
+        atexit.register(_drop_all, spark)
+    _CUTS.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+_CUTS: set[str] = set()
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that cut() returned, once nothing reads it any more."""
+    _remove(df.sparkSession, df._cut)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _CUTS.discard(path)
+
+
+def _drop_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        for path in list(_CUTS):
+            _remove(spark, path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined with right, which has a row for each key, where one key may hold a large share of left: its rows are
+    spread over `salts` tasks by a hash of the column `by`, and right is repeated for each. Spark's own splitting of
+    skewed joins doesn't apply where right is a sum by the same key. A merge join, as right grows with the data and its
+    size is underrated: it must not be broadcast."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated.hint("merge"), [*key, "_salt"], how).drop("_salt")
 
 
 def widened(docs: DataFrame, added: str) -> tuple[list[str], StructType, pa.Schema]:

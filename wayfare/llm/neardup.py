@@ -192,14 +192,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     prints = ["print_a", "print_b"]
     filled = signed.where("print_a IS NOT NULL")
     named = filled.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
-    members = common.cut(filled.drop("keys").join(named, prints).select("doc_id", "n_shingles", "rep"))
-    nodes = signed.where("print_a IS NOT NULL").join(named, [filled[c] == named[c] for c in prints]).where("doc_id = rep")
+    members = common.cut(common.spread_join(filled.drop("keys"), named, prints, "doc_id").select("doc_id", "n_shingles", "rep"))
+    nodes = common.spread_join(filled, named, prints, "doc_id").where("doc_id = rep")
     keyed = nodes.select("rep", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     stars = keyed.join(buckets.select("key", "hub"), "key").where("rep <> hub").select("rep", "hub").distinct()
     groups = components(stars, "rep", "hub")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    placed = common.cut(groups.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("grp"), "n"))
+    placed = common.cut(common.spread_join(groups, sizes, ["component"], "node").select(F.col("node").alias("rep"), F.col("component").alias("grp"), "n"))
 
     def compared(assigned: DataFrame) -> DataFrame:
         """(a, b) for assigned (rep, block, label)."""
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
         now = placed.where(large).join(known, F.col("rep") == F.col("node"), "left").select("rep", "grp", F.coalesce("component", "rep").alias("label"))
         counts = now.groupBy("grp", "label").agg(F.count("*").alias("m"))
         loose = counts.groupBy("grp").agg(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("loose"), F.count("*").alias("labels"))
-        now = now.join(counts, ["grp", "label"]).join(loose.where("labels > 1"), "grp")
+        now = common.spread_join(common.spread_join(now, counts, ["grp", "label"], "rep"), loose.where("labels > 1"), ["grp"], "rep")
         big = F.col("m") >= block
         half = block // 2
         now = now.withColumn("pure", F.when(big, F.col("label"))).withColumn(
