@@ -196,14 +196,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     nodes = common.spread_join(filled, named, prints, "doc_id").where("doc_id = rep")
     keyed = nodes.select("rep", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    stars = keyed.join(buckets.select("key", "hub"), "key").where("rep <> hub").select("rep", "hub").distinct()
+    stars = keyed.join(buckets.select("key", "hub").hint("merge"), "key").where("rep <> hub").select("rep", "hub").distinct()
     groups = components(stars, "rep", "hub")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     placed = common.cut(common.spread_join(groups, sizes, ["component"], "node").select(F.col("node").alias("rep"), F.col("component").alias("grp"), "n"))
 
     def compared(assigned: DataFrame) -> DataFrame:
         """(a, b) for assigned (rep, block, label)."""
-        held = rows.join(assigned, rows.doc_id == assigned.rep).select("block", "rep", "label", "text")
+        held = rows.join(assigned.hint("merge"), rows.doc_id == assigned.rep)  # alike at every size: both sides grow.select("block", "rep", "label", "text")
         dealt = held.repartition(common.tasks(docs.sparkSession), "block").sortWithinPartitions("block", "rep")
         return common.cut(dealt.mapInArrow(_linker(size, percent), "a long, b long"))
 
