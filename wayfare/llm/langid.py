@@ -58,24 +58,30 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, per_language: int = 2000, most_languages: int = 500) -> Model:
     """Trigram counts of each language over at most per_language of its training rows: labelled, and not held out. The
-    rows are those with the smallest hash of doc_id; with ties or repeated rows, any. Their ids are bounded, and so
+    rows are those with the smallest hash of doc_id; with ties or repeated rows, any. Rows that by the language's count
+    can't be among them go first, so that a common language isn't ranked as a whole. The ids are bounded, and so
     broadcast. A row of null text counts nothing."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & ~held_out())
-    ranked = rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id))"))
+    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"lang has over {most_languages} values")
+    # twice the share that is asked for: it holds per_language rows but for one chance in 10^100
+    shares = spark.createDataFrame([(lang, min(1.0, 2 * per_language / n)) for lang, n in counts], "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    ranked = near.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY lang ORDER BY pmod(xxhash64(doc_id), {1 << 40}))"))
     chosen = F.broadcast(ranked.where(F.col("rank") <= per_language).select("doc_id").distinct())
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
     parts = train.where(F.col("lang").isNotNull()).join(chosen, "doc_id", "left_semi").select("lang", "text").mapInArrow(_counter, "lang string, counts binary")
     sums: dict[str, np.ndarray] = {}
-    for lang, counts in parts.toLocalIterator():
-        sums[lang] = sums.get(lang, 0) + np.frombuffer(counts, np.int64)
-        if len(sums) > most_languages:
-            raise ValueError(f"lang has over {most_languages} values")
+    for lang, found in parts.toLocalIterator():
+        sums[lang] = sums.get(lang, 0) + np.frombuffer(found, np.int64)
     languages = sorted(sums)
     logs = np.zeros((CELLS, len(languages)), np.float32)
     for i, lang in enumerate(languages):
-        counts = sums[lang].copy()
-        counts[BLANK] = 0
-        logs[:, i] = np.log((counts + 0.5) / (counts.sum() + 0.5 * CELLS))
+        own = sums[lang].copy()
+        own[BLANK] = 0
+        logs[:, i] = np.log((own + 0.5) / (own.sum() + 0.5 * CELLS))
     logs[BLANK] = 0
     return Model(languages, logs * np.float32(TEMPER))
 
