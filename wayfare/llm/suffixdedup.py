@@ -167,13 +167,28 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield part, held
 
 
-def _marks(docs: np.ndarray, keys: np.ndarray, masks: np.ndarray, kind: int, shards: int) -> list[tuple]:
-    """Rows for the shards of the documents. a: doc_ids; b: keys; c: masks, where they aren't all ALL."""
-    part = _parts(docs, shards)
-    order = np.argsort(part, kind="stable")
-    docs, keys, part = docs[order], keys[order], part[order]
-    masks = masks[order] if kind == MASKS else masks
-    return [(p, kind, docs[lo:hi].tobytes(), keys[lo:hi].tobytes(), masks[lo:hi].tobytes() if kind == MASKS else None, None, None) for p, lo, hi in _cuts(part)]
+class _Marks:
+    """Marks of several buckets, packed together as rows for the shards of the documents, so that their number follows
+    the data and not the product of buckets and shards. a: doc_ids; b: keys; c: masks, if there are any."""
+
+    def __init__(self, kind: int, shards: int):
+        self.kind, self.shards, self.held, self.n = kind, shards, [], 0
+
+    def add(self, docs: np.ndarray, keys: np.ndarray, masks: np.ndarray | None = None) -> None:
+        if len(docs):
+            self.held.append((docs, keys) if masks is None else (docs, keys, masks))
+            self.n += len(docs)
+
+    def rows(self, most: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.n > most:
+            packed = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            part = _parts(packed[0], self.shards)
+            order = np.argsort(part, kind="stable")
+            packed = [x[order] for x in packed]
+            out = [(p, self.kind, *(x[lo:hi].tobytes() for x in packed), *[None] * (5 - len(packed))) for p, lo, hi in _cuts(part[order])]
+            self.held, self.n = [], 0
+            for i in range(0, len(out), 64):
+                yield _rows(PACKED, out[i : i + 64])
 
 
 def _sort_anchors(shards: int):
@@ -181,6 +196,7 @@ def _sort_anchors(shards: int):
     anchor differ, the smallest document of each (CHECK)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fulls, checks = _Marks(FULL, shards), _Marks(CHECK, shards)
         for _, rows in _by_part(batches):
             docs, low, key = [], [], []
             for r in rows:
@@ -202,11 +218,12 @@ def _sort_anchors(shards: int):
             heads = np.flatnonzero(new_low[firsts])
             lo, hi = np.minimum.reduceat(docs[firsts], heads), np.maximum.reduceat(docs[firsts], heads)
             check = firsts[(lo != hi)[group]]
-            out = _marks(docs[full], key[full], np.zeros(0, np.uint64), FULL, shards) if full.any() else []
-            if len(check):
-                out += _marks(docs[check], key[check], np.zeros(0, np.uint64), CHECK, shards)
-            for i in range(0, len(out), 64):
-                yield _rows(PACKED, out[i : i + 64])
+            fulls.add(docs[full], key[full])
+            checks.add(docs[check], key[check])
+            yield from fulls.rows(FLUSH // 16)
+            yield from checks.rows(FLUSH // 16)
+        yield from fulls.rows()
+        yield from checks.rows()
 
     return run
 
@@ -341,6 +358,7 @@ def _sort_around(shards: int):
     """Of each bucket: which of the 50-byte strings around an anchor a smaller document has, too, as masks of offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Marks(MASKS, shards)
         for _, rows in _by_part(batches):
             docs = np.concatenate([np.frombuffer(r["a"], np.int64) for r in rows])
             name = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
@@ -362,9 +380,9 @@ def _sort_around(shards: int):
                 least = np.repeat(docs[own[firsts]], np.diff(np.r_[firsts, len(own)]))
                 masks[own[docs[own] > least]] |= _U(1 << o)
             kept = np.flatnonzero(masks)
-            out = _marks(docs[kept], key[kept], masks[kept], MASKS, shards) if len(kept) else []
-            for i in range(0, len(out), 64):
-                yield _rows(PACKED, out[i : i + 64])
+            marks.add(docs[kept], key[kept], masks[kept])
+            yield from marks.rows(FLUSH // 16)
+        yield from marks.rows()
 
     return run
 
@@ -412,15 +430,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counts as the largest doc_id and is returned with it, 2 ** 63 - 1.
     """
     n = common.tasks(docs.sparkSession)
-    parts = 4 * n
+    buckets = 4 * n
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def by_part(df: DataFrame) -> DataFrame:
         return df.repartition(n, "part").sortWithinPartitions("part", "kind")
 
-    texts = rows.mapInArrow(_emit_texts(parts), PACKED_SQL)
-    marks = common.cut(by_part(rows.mapInArrow(_emit_anchors(parts), PACKED_SQL)).mapInArrow(_sort_anchors(parts), PACKED_SQL))
-    around = by_part(marks.where(f"kind = {CHECK}").unionByName(texts)).mapInArrow(_emit_around(parts), PACKED_SQL)
-    masks = by_part(around).mapInArrow(_sort_around(parts), PACKED_SQL)
+    texts = rows.mapInArrow(_emit_texts(n), PACKED_SQL)
+    marks = common.cut(by_part(rows.mapInArrow(_emit_anchors(buckets), PACKED_SQL)).mapInArrow(_sort_anchors(n), PACKED_SQL))
+    around = by_part(marks.where(f"kind = {CHECK}").unionByName(texts)).mapInArrow(_emit_around(buckets), PACKED_SQL)
+    masks = by_part(around).mapInArrow(_sort_around(n), PACKED_SQL)
     final = by_part(marks.where(f"kind = {FULL}").unionByName(masks).unionByName(texts))
     return final.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
