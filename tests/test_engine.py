@@ -197,7 +197,7 @@ def test_fold_equals_recomputation(spark, seed):
 def envelopes(spark, payloads, start=0):
     from wayfare.schema import RAW
 
-    rows = [("s", T0 + timedelta(seconds=start + i), "dimo.status", f"e-{start + i}", "a", "p", "", "v1", "{}", p, None, "", "") for i, p in enumerate(payloads)]
+    rows = [("s", T0 + timedelta(seconds=start + i), "fleet.status", f"e-{start + i}", "a", "p", "", "v1", "{}", p, None, "", "") for i, p in enumerate(payloads)]
     return spark.createDataFrame(rows, RAW)
 
 

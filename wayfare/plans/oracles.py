@@ -103,7 +103,7 @@ lv AS (SELECT subject, timestamp, epoch_us(timestamp) AS us, value_number > 0 AN
 lg AS (SELECT *, CASE WHEN lag(idle) OVER w AND us - lag(us) OVER w <= {HOUR} THEN 0 ELSE 1 END AS fresh FROM lv WINDOW w AS (PARTITION BY subject ORDER BY us)),
 ru AS (SELECT subject, min(us) AS start_us, max(us) AS end_us FROM (SELECT *, sum(fresh) OVER (PARTITION BY subject ORDER BY us) AS g FROM lg) WHERE idle GROUP BY subject, g)"""
 RAW = """
-r0 AS (SELECT 'did:test:' || (user_id % 20) AS subject, ts AS time, 'dimo.' || (CASE WHEN event_id % 2 = 0 THEN 'status' ELSE 'events' END) AS type, 'id-' || (event_id // 2) AS id,
+r0 AS (SELECT 'did:test:' || (user_id % 20) AS subject, ts AS time, 'fleet.' || (CASE WHEN event_id % 2 = 0 THEN 'status' ELSE 'events' END) AS type, 'id-' || (event_id // 2) AS id,
   'src-' || (event_id % 3) AS source, 'prod-' || (event_id % 4) AS producer, [event_type, 'k' || (props::JSON ->> '$.k')] AS tags, '{"value":' || (event_id % 100) || '}' AS data,
   CASE WHEN event_id % 50 = 0 THEN 'id-' || (event_id // 2 + 10) ELSE '' END AS voids_id, event_id FROM events),
 r AS (SELECT * FROM r0 UNION ALL SELECT * REPLACE (time + INTERVAL 1 MICROSECOND AS time) FROM r0 WHERE event_id % 7 = 0),
@@ -208,7 +208,7 @@ ORACLES: dict[str, str] = {
         "dy AS (SELECT day, epoch_us(day) + 18000000000 AS day_start, epoch_us(day) + 104400000000 AS day_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS day))",
     ),
     "raw_list": _raw(f"subject IN ('did:test:1', 'did:test:2') AND source <> 'src-0' AND epoch_us(time) > {START} AND epoch_us(time) < {END}", "ORDER BY found.time, id, type, subject, source LIMIT 500"),
-    "raw_latest": _raw(f"type = 'dimo.status' AND epoch_us(time) > {END - 400 * DAY}", "ORDER BY found.time DESC, id DESC, type DESC, subject, source LIMIT 1"),
+    "raw_latest": _raw(f"type = 'fleet.status' AND epoch_us(time) > {END - 400 * DAY}", "ORDER BY found.time DESC, id DESC, type DESC, subject, source LIMIT 1"),
     "raw_found": _raw("true"),
     "raw_type_summaries": _raw("true", "GROUP BY type", "type, count(*) AS count, epoch_us(min(time)) AS first_seen, epoch_us(max(time)) AS last_seen"),
     "raw_tags_filter": _raw("list_has_any(tags, ['click', 'view']) AND NOT list_contains(tags, 'k3') AND list_contains(tags, 'k1')"),

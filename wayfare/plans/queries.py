@@ -315,7 +315,7 @@ def raw_list(spark, d):
 
 @query
 def raw_latest(spark, d):
-    return _raw(raw.latest(fixtures.raw(spark, d), Search(isin={"type": ["dimo.status"]}, now=END)))
+    return _raw(raw.latest(fixtures.raw(spark, d), Search(isin={"type": ["fleet.status"]}, now=END)))
 
 
 @query

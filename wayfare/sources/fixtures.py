@@ -62,7 +62,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = e.select(
         _subject().alias("subject"),
         F.col("timestamp").alias("time"),
-        F.concat(F.lit("dimo."), F.when(F.col("event_id") % 2 == 0, "status").otherwise("events")).alias("type"),
+        F.concat(F.lit("fleet."), F.when(F.col("event_id") % 2 == 0, "status").otherwise("events")).alias("type"),
         id_.alias("id"),
         F.concat(F.lit("src-"), (F.col("event_id") % 3).cast("string")).alias("source"),
         F.concat(F.lit("prod-"), (F.col("event_id") % 4).cast("string")).alias("producer"),
@@ -98,7 +98,7 @@ def status_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.lit("]}"),
     )
-    return e.select(_subject().alias("subject"), F.col("timestamp").alias("time"), F.lit("dimo.status").alias("type"), F.concat(F.lit("id-"), n).alias("id"), F.lit("src-0").alias("source"), F.lit("prod-0").alias("producer"), data.alias("data"))
+    return e.select(_subject().alias("subject"), F.col("timestamp").alias("time"), F.lit("fleet.status").alias("type"), F.concat(F.lit("id-"), n).alias("id"), F.lit("src-0").alias("source"), F.lit("prod-0").alias("producer"), data.alias("data"))
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit('{"name":"'), name, F.lit('","timestamp":"'), stamp, F.lit('","durationNs":'), (F.col("event_id") * 1000).cast("string"), F.lit(f',"metadata":{metadata},"tags":["{tag}"]}}'))
 
     data = F.concat(F.lit('{"events":['), F.concat_ws(",", event(F.col("event_type"), r'"{\"a\":1}"', "ok"), event(F.lit("broken"), '"{"', "ok"), event(F.lit("tagged"), '""', "Loud")), F.lit("]}"))
-    return e.select(_subject().alias("subject"), F.col("timestamp").alias("time"), F.lit("dimo.events").alias("type"), F.concat(F.lit("id-"), F.col("event_id").cast("string")).alias("id"), F.lit("src-0").alias("source"), F.lit("prod-0").alias("producer"), data.alias("data"))
+    return e.select(_subject().alias("subject"), F.col("timestamp").alias("time"), F.lit("fleet.events").alias("type"), F.concat(F.lit("id-"), F.col("event_id").cast("string")).alias("id"), F.lit("src-0").alias("source"), F.lit("prod-0").alias("producer"), data.alias("data"))
 
 
 def with_bucket(df: DataFrame) -> DataFrame:
