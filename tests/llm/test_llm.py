@@ -342,6 +342,19 @@ def test_html_differencing(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 40])
+def test_html_neighbours_in_other_ranges(spark, n):
+    page = "<div>same top</div><p>own text {}</p><div>same end</div>"
+    rows = [(i if i % 5 else None, f"http://h{i // 4}.org/a/{i:03}", page.format(i)) for i in range(24)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        got = {r.url: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {url: f"own text {i}" for i, (_, url, _) in enumerate(rows)}
+
+
 def test_html_on_pages(spark):
     page = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op10_html_extraction"](spark, SF).collect():

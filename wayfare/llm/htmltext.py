@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -118,30 +119,68 @@ def main_text(own: list[Line], beside: list[Line] | None) -> str:
     return "\n\n".join(text for i, (text, kind) in enumerate(own) if kind == "other" and i not in gone)
 
 
+ADDRESS = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
+KEY = ["host", "path", "page_id"]
+
+
+def _place(host: str, path: str, page_id: int | None) -> tuple:
+    """A key as Spark orders it: text by code points, null ids first."""
+    return host, path, page_id is not None, page_id or 0
+
+
+def ranges(keyed: DataFrame) -> list[tuple[tuple, tuple]]:
+    """The first and last key of each range that keyed is dealt by, in order: two rows for each task, from the keys alone."""
+    dealt = keyed.select(*KEY).repartitionByRange(common.tasks(keyed.sparkSession), *KEY)
+    edges = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last"))
+    return sorted(((tuple(r["first"]), tuple(r["last"])) for r in edges.collect()), key=lambda r: _place(*r[0]))
+
+
+def dealt(keyed: DataFrame) -> DataFrame:
+    """keyed with the range of each row and guest = false, dealt out by range and sorted, and with guest = true, once
+    more, the last rows of the range before and the first of the next, if of the same host."""
+    spark = keyed.sparkSession
+    found = ranges(keyed)
+    # binary search, of the starts as one literal
+    starts = F.from_json(F.lit(json.dumps([dict(zip(KEY, first)) for first, _ in found])), "array<struct<host: string, path: string, page_id: long>>")
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(found).bit_length())))) if found else F.array().cast("array<int>")
+    passed = lambda k: (k <= len(found)) & (F.get(starts, k - 1) <= F.struct(*KEY))
+    of = F.greatest(F.aggregate(halves, F.lit(0), lambda k, x: F.when(passed(k + x), k + x).otherwise(k)) - 1, F.lit(0))
+
+    steps = [(i, *x) for i, x in enumerate(zip(found, found[1:])) if x[0][1][0] == x[1][0][0]]
+    visits = [(*ends[1], i + 1) for i, ends, _ in steps] + [(*ends[0], i) for i, _, ends in steps]
+    visits = spark.createDataFrame(visits, "host string, path string, id string, range int")
+    same = [keyed["host"] == visits["host"], keyed["path"] == visits["path"], F.col("page_id").cast("string").eqNullSafe(visits["id"])]
+    # at most two rows for each task
+    guests = keyed.join(F.broadcast(visits), same).select(*(keyed[c] for c in keyed.columns), "range", F.lit(True).alias("guest"))
+    own = keyed.withColumn("range", of).withColumn("guest", F.lit(False))
+    both = own.unionByName(guests).repartitionById(max(1, len(found)), F.col("range"))
+    return both.sortWithinPartitions("range", *KEY, F.xxhash64("url", "html"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of pages: the main text of its whole html.
 
     Pages are dealt by ranges of (host, URL path, page_id) and sorted, so that a host with any share of the pages is
-    spread over tasks and each task holds three pages at a time. A page is compared with the page before or after it
-    in its range and of its host, that with the longer common start of the path (the one before, if equal). A page
-    without such a neighbour is judged by its elements alone. A null html is empty and gives an empty text; a null url
-    counts as an empty host and path, and is returned as null. Repeated rows and ids give a row each.
+    spread over tasks and each task holds three pages at a time. The pages at the ends of a range are sent to the range
+    beside it too, so that the text doesn't depend on the number of ranges. A page is compared with the page before or
+    after it of its host, that with the longer common start of the path (the one before, if equal). A page without such
+    a neighbour is judged by its elements alone. A null html is empty and gives an empty text; a null url counts as an
+    empty host and path, and is returned as null. Repeated rows and ids give a row each.
     """
-    address = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple | None]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield tuple(batch.column(k)[i].as_py() for k in range(5))
+                    yield tuple(batch.column(k)[i].as_py() for k in range(6))
             yield None
 
         before = now = None
         out: list[tuple] = []
         for row in rows():
-            following = row and (row[2], row[3], lines(row[4]), row[0], row[1])
-            if now:
+            following = row and (row[2], row[3], lines(row[4]), row[0], row[1], row[5])
+            if now and not now[5]:
                 near = [x for x in (before, following) if x and x[0] == now[0]]
                 best = max(near, key=lambda x: len(commonprefix([x[1], now[1]])), default=None)
                 out.append((now[3], now[4], main_text(now[2], best and best[2])))
@@ -150,11 +189,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind.field(k).type) for k in range(3)], schema=kind)
                 out = []
 
-    dealt = pages.select(
+    keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
-        F.lower(F.coalesce(F.regexp_extract("url", address, 1), F.lit(""))).alias("host"),
-        F.coalesce(F.regexp_extract("url", address, 2), F.lit("")).alias("path"),
+        F.lower(F.coalesce(F.regexp_extract("url", ADDRESS, 1), F.lit(""))).alias("host"),
+        F.coalesce(F.regexp_extract("url", ADDRESS, 2), F.lit("")).alias("path"),
         F.col("html").cast("string").alias("html"),
-    ).repartitionByRange(common.tasks(pages.sparkSession), "host", "path", "page_id")
-    return dealt.sortWithinPartitions("host", "path", "page_id").mapInArrow(run, "page_id long, url string, text string")
+    )
+    return dealt(keyed).select("page_id", "url", "host", "path", "html", "guest").mapInArrow(run, "page_id long, url string, text string")
