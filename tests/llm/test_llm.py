@@ -355,6 +355,15 @@ def test_html_neighbours_in_other_ranges(spark, n):
     assert got == {url: f"own text {i}" for i, (_, url, _) in enumerate(rows)}
 
 
+def test_html_differencing_beside_articles(spark):
+    page = "<div>same top</div><article><p>teaser {0}</p><p>the same line</p></article><div>story {0}</div><div>same end</div>"
+    rows = [(i, f"http://h.org/a/{i}", page.format(i)) for i in range(2)] + [(5, "http://x.org/", page.format(5))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in htmltext.extract(df.repartition(1)).collect()}
+    assert all("story" in " ".join(t) and "the same line" in t for t in got.values())
+    assert htmltext.main_text(htmltext.lines(page.format(0)), htmltext.lines(page.format(1))) == "teaser 0\n\nthe same line\n\nstory 0"
+
+
 def test_html_on_pages(spark):
     page = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op10_html_extraction"](spark, SF).collect():

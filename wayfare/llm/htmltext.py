@@ -109,14 +109,11 @@ def shared(a: list[Line], b: list[Line]) -> set[int]:
 
 def main_text(own: list[Line], beside: list[Line] | None) -> str:
     """Lines outside the chrome, less those shared with the page beside it. Lines inside an article or main element are
-    the page's own even if another article repeats them, and such an element ends the search for others; a page of
-    which all lines are shared (a copy) keeps them."""
+    the page's own even if another article repeats them; a page of which all lines are shared (a copy) keeps them."""
     gone = shared(own, beside) if beside else set()
     if len(gone) == len(own):
         gone = set()
-    if any(kind == "main" for _, kind in own):
-        return "\n\n".join(text for text, kind in own if kind == "main")
-    return "\n\n".join(text for i, (text, kind) in enumerate(own) if kind == "other" and i not in gone)
+    return "\n\n".join(text for i, (text, kind) in enumerate(own) if kind == "main" or kind == "other" and i not in gone)
 
 
 ADDRESS = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
