@@ -333,6 +333,18 @@ def test_html_lines():
     assert htmltext.lines("a < b")[0] == ("a < b", "other")
 
 
+def test_html_layout_is_not_chrome():
+    story = "<article><p>story</p><div class='post-comments'><article>said</article></div></article>"
+    for mark in ("layout has-sidebar", "no-sidebar", "with-header", "share-enabled", "sidebar", "ad-slot", "siteHeader"):
+        page = f"<body><div class='{mark}'><nav>menu</nav><div class='ad'>buy</div>{story}<p>more</p></div><p>end</p>"
+        assert [t for t, kind in htmltext.lines(page) if kind != "chrome"] == ["story", "more", "end"], mark
+    assert [t for t, kind in htmltext.lines(f"<form id=all>{story}</form><aside><article>side</article></aside>") if kind != "chrome"] == ["story"]
+    for mark in ("sidebar", "x site-header", "ad-slot", "siteHeader", "related posts", "sidebar-left", "ad-2"):
+        assert htmltext.lines(f"<div class='{mark}'>x</div>") == [("x", "chrome")], mark
+    for mark in ("has-sidebar", "no-sidebar", "with-header", "share-enabled", "header-image-caption", "adverb"):
+        assert htmltext.lines(f"<div class='{mark}'>x</div>") == [("x", "other")], mark
+
+
 def test_html_differencing(spark):
     pages = [(i, f"http://h.org/a/{i}", f"<div>same top</div><p>own text {i}</p><div>same end</div>") for i in range(4)] + [(9, None, None), (10, "http://x.org/", "<p>alone</p>"), (11, "http://h.org/b", "<article><p>own</p></article><p>same top</p>"), (9, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit(1)).coalesce(1)

@@ -6,6 +6,7 @@ import html as entities
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -21,6 +22,9 @@ RAW = "script|style|xmp|noembed|noframes"
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header menu nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: What a mark's box is called, and first words of class tokens that tell of a page's layout.
+BOXES = frozenset("area bar block bottom box button buttons column container content form group inner item items left link links list modal panel posts right row section slot top unit wrap wrapper".split())
+STATES = frozenset("has have hide is no not show with without".split())
 
 _GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
@@ -29,8 +33,54 @@ _MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 Line = tuple[str, str]  # text, and "main", "chrome" or "other"
 
 
+def _named(token: str) -> bool:
+    """A class token, id or role that is a mark (sidebar), ends in one (site-header), or is the box of one (ad-slot)."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
+    if not words or words[0] in STATES:
+        return False
+    return words[-1] in MARKS or words[0] in MARKS and all(w in BOXES or w.isdigit() for w in words[1:])
+
+
 def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(map(_named, " ".join(m[1] or m[2] or m[3] or "" for m in _MARK.finditer(attributes)).split()))
+
+
+def wrappers(page: str) -> set[int]:
+    """Where the tags of marked elements and forms start that hold an article or main element, other than one inside
+    another such element or in chrome: they lay out the page."""
+    out: set[int] = set()
+    held: list[tuple[str, int, str]] = []  # name, where it starts, and "main", "chrome", "wrap" or "" of each open element
+    names: Counter[str] = Counter()
+    kinds: Counter[str] = Counter()
+
+    def end(k: int) -> None:
+        for name, _, kind in held[k:]:
+            names[name] -= 1
+            kinds[kind] -= 1
+        del held[k:]
+
+    for m in _TAG.finditer(page):
+        if not m[2] or (name := m[2].lower()) in VOID:
+            continue
+        if held and held[-1][0] == "p" and name in BLOCKS:
+            end(len(held) - 1)
+        if m[1]:
+            if names[name]:
+                end(max(k for k, x in enumerate(held) if x[0] == name))
+            continue
+        if name in ("article", "main"):
+            kind = "main"
+            if not kinds["main"] and not kinds["chrome"]:
+                out.update(start for _, start, k in held if k == "wrap")
+        elif name in CHROME and name != "form":
+            kind = "chrome"
+        else:
+            kind = "wrap" if name == "form" or name not in ("html", "body") and m[3] and _marked(m[3]) else ""
+        if not m[3].endswith("/"):
+            held.append((name, m.start(), kind))
+            names[name] += 1
+            kinds[kind] += 1
+    return out
 
 
 def lines(page: str | None) -> list[Line]:
@@ -47,6 +97,7 @@ def lines(page: str | None) -> list[Line]:
             parts.clear()
 
     page, at = _GONE.sub(" ", page or ""), 0
+    plain = wrappers(page)
     for m in _TAG.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -73,7 +124,7 @@ def lines(page: str | None) -> list[Line]:
                 flush()
                 chrome.clear()
                 main = 0 if name in ("body", "html") else max(0, main - 1)
-        elif not closes and (name in CHROME or m[3] and name not in ("html", "body", "article", "main") and _marked(m[3])):
+        elif not closes and m.start() not in plain and (name in CHROME or m[3] and name not in ("html", "body", "article", "main") and _marked(m[3])):
             flush()
             if not m[3].endswith("/"):
                 chrome.append(name)
