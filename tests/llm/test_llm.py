@@ -177,6 +177,28 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, []), []).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    wrap = lambda text, n, mark="": "\n".join(mark + " ".join(w[i : i + n]) for w in [text.split()] for i in range(0, len(w), n))
+    spread = "\nx\n".join(f"filler {'word ' * 40}{x}" for x in licenses.TEMPLATES[0][1].split())
+    texts = [f"Some\n\n{'prose ' * 30}{wrap(t, n, mark)}\nand {'more ' * 30}" for _, t in licenses.TEMPLATES for n, mark in ((3, ""), (5, " * "), (2, "\n# "))]
+    got = {r.doc_id: {m.label: m.share for m in r.matches} for r in licenses.scan(docs(spark, [*texts, spread])).collect()}
+    for i in range(len(texts)):
+        label, template = licenses.TEMPLATES[i // 3]
+        assert got[i].get(label) == 1.0, template
+    assert got[len(texts)] == {}
+    rng = np.random.default_rng(3)
+    for label, template in licenses.TEMPLATES[:1]:  # against brute force, with words left out and put in
+        words, need = licenses.sequence(template), licenses.tokens(template)
+        odd = [wrap(" ".join(x for w in words for x in ([w] if rng.random() > 0.12 else []) + ["zz"] * int(rng.random() < 0.15)), 4) for _ in range(30)]
+        found = {r.doc_id: {m.share for m in r.matches if m.label == label} for r in licenses.scan(docs(spark, odd), [(label, template)]).collect()}
+        for i, t in enumerate(odd):
+            w, n = licenses.sequence(t), -(-100 * len(words) // 80)
+            blocks = [w[k : k + n] for k in range(len(w))] + [licenses.sequence(x) for x in t.split("\n")]
+            most = max(len(need & set(b)) for b in blocks) / len(need)
+            assert found[i] == ({most} if 100 * most >= 80 else set())
+        assert 0 < sum(map(bool, found.values())) < 30
+
+
 # 6
 
 

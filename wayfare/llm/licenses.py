@@ -1,4 +1,4 @@
-"""License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
+"""License scans: base phrases, and an exact set-similarity join of text blocks (lines and windows of words) with license templates.
 
 DataFrame functions only.
 """
@@ -32,8 +32,12 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def sequence(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def tokens(text: str) -> set[str]:
-    return set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER))))
+    return set(sequence(text))
 
 
 def frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -53,19 +57,22 @@ def _phrase() -> str:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, matches) for each row of docs.
 
-    Base: the places of the phrases. The join: a block is a line of the text; it meets a template if it holds at least
-    percent hundredths of the template's distinct words. Words are ordered by their frequency in all texts, rarest
+    Base: the places of the phrases. The join: a block is a line of the text, or a window of consecutive words that runs
+    across line breaks, 100 / percent times as long as the template; it meets a template if it holds at least percent
+    hundredths of the template's distinct words. Words are ordered by their frequency in all texts, rarest
     first. If the template has n words and needs k of them, a block that meets it holds one of its n - k + 1 rarest (the
     prefix filter): only lines with such a word of any template are looked at. Of those, lines with fewer than k
     template words fail (the length filter), and so do those where the first shared prefix word has too few words after
-    it in the template or the block (the positional filter). The rest are counted in full. No line is left out
-    otherwise, and nothing is shuffled but the sums of the word counts.
+    it in the template or the block (the positional filter). The rest are counted in full. All windows that hold a
+    prefix word lie around its places: only where the words around one hold k of the template are its windows counted.
+    No line or window is left out otherwise, and nothing is shuffled but the sums of the word counts.
 
-    matches are the (label, share) of templates that some line meets, with the largest share of its lines. A null or
+    matches are the (label, share) of templates that some block meets, with the largest share of its blocks. A null or
     empty text has no words, places or matches; first_word and last_word are then null. Repeated rows are judged each.
     A template without words is ignored.
     """
     sets = [(label, tokens(text)) for label, text in templates]
+    lengths = {(label, frozenset(tokens(text))): len(sequence(text)) for label, text in templates}
     sets = [(label, words) for label, words in sets if words]
     vocabulary = set().union(*(words for _, words in sets)) if sets else set()
     counts = frequencies(docs, vocabulary) if vocabulary else {}
@@ -75,7 +82,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     for label, words in sets:
         ranked = sorted(words, key=place.__getitem__)
         need = math.ceil(percent * len(ranked) / 100)
-        rules.append((label, ranked, need, ranked[: len(ranked) - need + 1]))
+        rules.append((label, ranked, need, ranked[: len(ranked) - need + 1], math.ceil(100 * lengths[label, frozenset(words)] / percent)))
     probes = sorted({w for r in rules for w in r[3]}, key=place.__getitem__)
 
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered("text").alias("low"))
@@ -89,7 +96,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
         F.when(has, F.split("low", pattern, -1)).alias("pieces"),
         F.when(has, F.regexp_extract_all("low", F.lit(pattern), F.lit(0))).alias("found"),
         F.when(F.col("low").rlike(any_probe), F.filter(F.split("low", "\n"), lambda x: x.rlike(any_probe))).otherwise(F.array().cast("array<string>")).alias("lines"),
+        F.when(F.col("low").rlike(any_probe), F.split("low", f"[^{WORD}]+")).otherwise(F.array().cast("array<string>")).alias("words"),
     )
+    # places of the words of any prefix, from 1
+    places = F.filter(F.transform("words", lambda x, i: F.when(x.isin(probes), F.struct((i + 1).alias("at"), x.alias("word")))), lambda x: x.isNotNull())
     every = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
     blocks = F.transform("lines", lambda x: F.array_intersect(every, F.split(x, f"[^{WORD}]+")))  # in the global order
 
@@ -100,16 +110,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
         held = F.size(F.array_intersect(own, block))
         return F.when(first.isNotNull() & (F.size(block) >= need) & (1 + after >= need) & (held >= need), held / len(ranked))
 
-    best = [F.struct(F.lit(label).alias("label"), F.array_max(F.transform("blocks", partial(share, ranked, need, prefix))).alias("share")) for label, ranked, need, prefix in rules]
+    def window_share(ranked: list[str], need: int, prefix: list[str], length: int) -> Column:
+        own = F.array(*map(F.lit, ranked))
+        held = lambda start, n: F.size(F.array_intersect(own, F.slice("words", start, n)))
+        start = lambda x: F.greatest(x["at"] - (length - 1), F.lit(1))
+        near = F.filter("places", lambda x: x["word"].isin(prefix) & (held(start(x), F.lit(2 * length - 1)) >= need))
+        most = F.array_max(F.flatten(F.transform(near, lambda x: F.transform(F.sequence(start(x), x["at"]), lambda i: held(i, F.lit(length))))))
+        return F.when(most >= need, most / len(ranked))
+
+    def best_share(ranked: list[str], need: int, prefix: list[str], length: int) -> Column:
+        return F.greatest(F.array_max(F.transform("blocks", partial(share, ranked, need, prefix))), window_share(ranked, need, prefix, length))
+
+    best = [F.struct(F.lit(label).alias("label"), best_share(*rule).alias("share")) for label, *rule in rules]
     none = F.array().cast("array<struct<label: string, share: double>>")
     names = lambda x: F.when(x.startswith("cc"), F.lit(PHRASES["cc by"])).when(x.startswith("general"), F.lit(PHRASES["general public license"])).otherwise(F.lit(PHRASES["all rights reserved"]))
     last = F.element_at("found", -1)
-    return low.withColumn("blocks", blocks).select(
+    return low.withColumn("blocks", blocks).withColumn("places", places).select(
         "doc_id",
         "n_words",
         F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).cast("long").alias("n_base"),
         F.when(F.col("found").isNotNull(), n_words(F.get("pieces", F.lit(0)))).alias("first_word"),
         F.when(F.col("found").isNotNull(), F.col("n_words") - n_words(F.element_at("pieces", -1)) - F.when(last.startswith("cc"), 2).otherwise(3)).alias("last_word"),
         F.when(F.col("found").isNotNull(), F.array_sort(F.array_distinct(F.transform("found", names)))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
-        (F.when(F.size("blocks") > 0, F.filter(F.array(*best), lambda x: x["share"].isNotNull())).otherwise(none) if best else none).alias("matches"),
+        (F.when(F.size("places") > 0, F.filter(F.array(*best), lambda x: x["share"].isNotNull())).otherwise(none) if best else none).alias("matches"),
     )
