@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wayfare.functions.filters import ArrayFilter, FloatFilter
 from wayfare.functions.hashing import bucket_of, fnv_bucket
@@ -144,6 +145,20 @@ def test_ignition_noise_and_open_end(spark):
     assert values(got, "start_us", "end_us", "duration_s", "ongoing") == [(START, None, 3600, True)]
 
 
+def test_ignition_on_throughout(spark):
+    day = 86_400
+    on = levels(spark, [(-40 * day, 1), (-20 * day, 1), (600, 1)])
+    off = levels(spark, [(-20 * day, 0), (600, 0)]).withColumn("subject", F.lit("off"))
+    old = levels(spark, [(-40 * day, 1)]).withColumn("subject", F.lit("old"))
+    early = levels(spark, [(-40 * day, 1), (600, 1), (1200, 0)]).withColumn("subject", F.lit("early"))
+    states = on.union(off).union(old).union(early)
+    end = START + 3600_000_000
+    changes = segments.state_changes(states, START, end, 30 * day * 1_000_000)
+    assert [(r.subject, r.timestamp - T0, r.state, r.previous) for r in changes.orderBy("subject").collect()] == [("early", timedelta(seconds=1200), 0.0, 1.0), ("s", timedelta(days=-20), 1.0, 0.0)]
+    got = segments.ignition(states, START, end, segments.Config())
+    assert values(got, "subject", "start_us", "end_us", "ongoing", "started_before") == [("s", START - 20 * day * 1_000_000, None, True, True)]
+
+
 def test_idle_runs(spark):
     rpm = levels(spark, [(0, 800), (100, 900), (200, 2000), (300, 700), (900, 700), (1000, 0)])
     got = segments.idle_runs(rpm, START, START + 3600_000_000, segments.Config(max_gap=300))

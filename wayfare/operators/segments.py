@@ -105,14 +105,17 @@ def change_point(signals: DataFrame, start: int, end: int, config: Config, now:
 def state_changes(samples: DataFrame, start: int, end: int, lookback: int) -> DataFrame:
     """(subject, timestamp, state, previous) of samples (subject, timestamp, value): transitions from `lookback` before
     start to end, and the last one before. The state before the first is 0. If nothing changed and the last state is 1,
-    the first reading of the range counts as the change."""
+    the first reading from `lookback` before start on counts as the change."""
     w = W.partitionBy("subject").orderBy("timestamp")
     rows = samples.where(F.col("timestamp") < at(end)).where(F.col("value").isNotNull())
     rows = rows.withColumn("previous", F.coalesce(F.lag("value").over(w), F.lit(0.0)))
     rows = rows.select("subject", "timestamp", F.col("value").alias("state"), "previous")
-    changed = F.col("state") != F.col("previous")
     inside = F.col("timestamp") >= at(start - lookback)
-    return rows.where(changed & inside)
+    rows = rows.withColumn("_inside", inside).withColumn("_changed", inside & (F.col("state") != F.col("previous")))
+    first = F.col("_inside") & ~F.coalesce(F.lag("_inside").over(w), F.lit(False))
+    rows = rows.withColumn("_first", first).withColumn("_any", F.max("_changed").over(W.partitionBy("subject")))
+    steady = F.col("_first") & ~F.col("_any") & (F.col("state") == 1)
+    return rows.where(F.col("_changed") | steady).select("subject", "timestamp", "state", F.when(steady, 0.0).otherwise(F.col("previous")).alias("previous"))
 
 
 def ignition(samples: DataFrame, start: int, end: int, config: Config) -> DataFrame:
