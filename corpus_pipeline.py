@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import langid, mixing, neardup, secrets
-from wayfare.llm.common import shared_dir, table
+from wayfare.llm.common import cut, shared_dir, spread_join, table
 from wayfare.llm.decontaminate import decontaminate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,12 +28,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of near duplicates (five-word shingles, similarity 0.8 or more), and one of
-    the rows that share a doc_id. Rows without a doc_id can't be named, and stay."""
-    found = neardup.near_duplicates(docs, size=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    place = left.withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY n_chars, source, lang)"))
+    """Keeps one row of each class of near duplicates (five-word shingles, similarity 0.8 or more), that of the smallest
+    doc_id. A row is named by its doc_id and text, so that rows that share a doc_id are judged each by its own text, and
+    of rows with the same doc_id and text one is kept. Rows without a doc_id can't be named, and stay."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), size=5, percent=80)
+    classes = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    members = cut(keyed.where("key IS NOT NULL").select("key", "doc_id").distinct().join(classes.hint("merge"), "key"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("first"))
+    gone = spread_join(members, first, ["component_id"], "key").where("key <> first").select("key")
+    left = keyed.join(gone, "key", "left_anti")
+    place = left.withColumn("place", F.expr("row_number() OVER (PARTITION BY key ORDER BY n_chars, source, lang)"))
     return place.where("place = 1 OR doc_id IS NULL").select(*COLUMNS)
 
 

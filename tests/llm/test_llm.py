@@ -427,3 +427,16 @@ def test_pipeline(spark):
     assert set(left) == want
     for i, t in left.items():
         assert t == before[i].text or "[SECRET]" in t
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcd")
+    near = a.rsplit(" ", 1)[0]
+    rows = [(7, a), (2, near), (1, b), (2, c), (7, d), (4, d + " " + d), (9, c), (4, d + " " + d), (None, a), (None, a), (3, "short"), (3, "other")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in cp.drop_near_duplicates(spark, df, SF).collect()))
+    want = [(0, a), (0, a), (1, b), (2, near), (2, c), (3, "other"), (3, "short"), (4, d + " " + d)]
+    sets = classes([(0, d), (1, d + " " + d)], 5, 80)
+    assert got == sorted(want + ([(7, d)] if sets[1][1] == 1 else []))

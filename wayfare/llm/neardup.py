@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
        of nodes that are candidates and in different classes so far.
 
     Words are split at ASCII white space, A-Z lowered. A null or empty text has no shingles, is linked to nothing and
-    kept; a text of fewer words than size is one shingle. Repeated rows give repeated result rows; rows of one doc_id
-    are one document, also if their texts differ. A null doc_id has a null component, or that of its copies. Other columns aren't
+    kept; a text of fewer words than size is one shingle. Repeated rows give repeated result rows; a doc_id
+    names one text, so that rows whose texts differ need ids of their own. A null doc_id has a null component, or that of its copies. Other columns aren't
     read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
