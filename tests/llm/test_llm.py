@@ -87,6 +87,17 @@ def test_neighbours(spark):
     assert [r.rank for r in few.orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_probes_hold_for_rows_outside_the_fit():
+    x = np.random.default_rng(4).standard_normal((3072, 24))
+    router = neighbours.fit(x[:1024], 16, 0.9)
+    fresh = np.arange(1024, 3072)
+    scores = router.scores(x)
+    order = np.argsort(-scores[fresh], axis=1)[:, : router.probes]
+    near = neighbours.knn(x, x[fresh], 11)
+    hit = (scores.argmax(1)[near][:, :, None] == order[:, None, :]).any(2)[near != fresh[:, None]].mean()
+    assert hit >= 0.87
+
+
 def test_balanced_parts():
     x = np.random.default_rng(0).standard_normal((256, 4))
     label = neighbours.balanced_parts(x, neighbours.knn(x, x, 5, own=True), 8)

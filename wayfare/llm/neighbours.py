@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 NEAR = 10  # neighbours of a vector in the graph
 HIDDEN = 128
+HELD_BACK = 8  # one of so many sampled rows only measures recall
 
 
 def knn(base: np.ndarray, queries: np.ndarray, k: int, own: bool = False) -> np.ndarray:
@@ -97,19 +98,24 @@ def train(x: np.ndarray, target: np.ndarray, steps: int = 300) -> Router:
 
 
 def fit(sample: np.ndarray, parts: int, recall: float) -> Router:
-    """The router, with the least number of probes that finds `recall` of the sample's own neighbours (all, if none does)."""
-    near = knn(sample, sample, min(NEAR, len(sample) - 1), own=True)
-    label = balanced_parts(sample, near, parts)
-    target = np.zeros((len(sample), parts))
-    rows = np.arange(len(sample))
+    """The router, with the least number of probes that finds `recall` of the neighbours in the sample of its rows held
+    back (all, if none does): one of HELD_BACK, which neither the partitions nor the router were fitted on."""
+    held = np.arange(len(sample)) % HELD_BACK == 0
+    known = sample[~held]
+    near = knn(known, known, min(NEAR, len(known) - 1), own=True)
+    label = balanced_parts(known, near, parts)
+    target = np.zeros((len(known), parts))
+    rows = np.arange(len(known))
     np.add.at(target, (np.repeat(rows, near.shape[1]), label[near].ravel()), 1)
     target[rows, label] += near.shape[1] / 2
-    router = train(sample, target / target.sum(1, keepdims=True))
+    router = train(known, target / target.sum(1, keepdims=True))
     scores = router.scores(sample)
-    own, order = scores.argmax(1), np.argsort(-scores, axis=1, kind="stable")
+    own, order = scores.argmax(1), np.argsort(-scores[held], axis=1, kind="stable")
     rank = np.empty_like(order)
-    rank[rows[:, None], order] = np.arange(parts)
-    needed = rank[rows[:, None], own[near]]
+    rank[np.arange(len(order))[:, None], order] = np.arange(parts)
+    found = knn(sample, sample[held], min(NEAR, len(sample) - 1) + 1)
+    others = found != np.flatnonzero(held)[:, None]
+    needed = np.take_along_axis(rank, own[found], 1)[others]
     router.probes = next((t for t in range(1, parts) if (needed < t).mean() >= recall), parts)
     return router
 
@@ -146,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096
 
     The neighbour graph, its partitions and the router are fitted on `sample` rows, those with the smallest hash of
     vec_id; all rows are indexed, each in its most probable partition, of which there is one for each rows_per_part rows
-    (a power of two from 8 to 256). A query visits as many partitions as the sample needed for `recall`, and more while
+    (a power of two from 8 to 256). A query visits as many partitions as rows held back from the fit needed for `recall`, and more while
     those hold fewer than k + 1 vectors. Partitions and their queries are dealt into blocks of bounded size, so that a
     partition with any share of the rows is spread over tasks.
 
