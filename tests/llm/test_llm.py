@@ -366,25 +366,64 @@ def test_html_lines():
     assert htmltext.lines("a < b")[0] == ("a < b", "other")
 
 
+def kept_lines(page):
+    return [t for t, kind in htmltext.lines(page) if kind != "chrome"]
+
+
+def test_html_open_elements():
+    assert kept_lines("<article><ul><li class='social'>a<li>b</ul><p>rest") == ["b", "rest"]
+    assert kept_lines("<article><div class=ad><p>x<p>y</div>z<table><tr><td class=ad>n<td>c<tr><td>d</table>e") == ["z", "n", "c", "d", "e"]
+    assert kept_lines("<article><p>a<img alt=Bob's src=x>b</p><p title='x > y'>c</p><a href=/x?a='b>e</a>") == ["ab", "c", "e"]
+    own = "<article><h2 id='related-work'>Related</h2><p id='share-prices'>Shares</p><section class='article-header'><h1>T</h1></section><header><h1>U</h1></header><p data-class='ad'>v"
+    assert kept_lines(own) == ["Related", "Shares", "T", "U", "v"]
+    assert kept_lines("<header>top</header><article>x</article></article><nav>n") == ["x"]
+
+
 def test_html_layout_is_not_chrome():
     story = "<article><p>story</p><div class='post-comments'><article>said</article></div></article>"
     for mark in ("layout has-sidebar", "no-sidebar", "with-header", "share-enabled", "sidebar", "ad-slot", "siteHeader"):
         page = f"<body><div class='{mark}'><nav>menu</nav><div class='ad'>buy</div>{story}<p>more</p></div><p>end</p>"
-        assert [t for t, kind in htmltext.lines(page) if kind != "chrome"] == ["story", "more", "end"], mark
-    assert [t for t, kind in htmltext.lines(f"<form id=all>{story}</form><aside><article>side</article></aside>") if kind != "chrome"] == ["story"]
+        assert kept_lines(page) == ["story", "more", "end"], mark
+    assert kept_lines(f"<form id=all>{story}</form><aside><article>side</article></aside>") == ["story"]
     for mark in ("sidebar", "x site-header", "ad-slot", "siteHeader", "related posts", "sidebar-left", "ad-2"):
         assert htmltext.lines(f"<div class='{mark}'>x</div>") == [("x", "chrome")], mark
     for mark in ("has-sidebar", "no-sidebar", "with-header", "share-enabled", "header-image-caption", "adverb"):
         assert htmltext.lines(f"<div class='{mark}'>x</div>") == [("x", "other")], mark
 
 
+def test_html_shared_lines_are_a_longest_common_subsequence():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = ([(str(x), "other") for x in rng.integers(0, 6, rng.integers(0, 12))] for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        found = [a[i] for i in sorted(htmltext.shared(a, b))]
+        assert len(found) == best[-1, -1]
+        rest = iter(b)
+        assert all(x in rest for x in found)
+
+
+def html_rows(spark, rows, **options):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("HOST", F.lit(1)).withColumn("text", F.lit(1))
+    return htmltext.extract(df, **options).collect()
+
+
 def test_html_differencing(spark):
-    pages = [(i, f"http://h.org/a/{i}", f"<div>same top</div><p>own text {i}</p><div>same end</div>") for i in range(4)] + [(9, None, None), (10, "http://x.org/", "<p>alone</p>"), (11, "http://h.org/b", "<article><p>own</p></article><p>same top</p>"), (9, None, None)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit(1)).coalesce(1)
-    got = sorted((r.page_id, r.text) for r in htmltext.extract(df).collect())
-    assert [g for g in got if g[0] >= 9] == [(9, ""), (9, ""), (10, "alone"), (11, "own")]
-    assert all(f"own text {i}" in dict(got)[i] for i in range(4)) and sum("same" not in dict(got)[i] for i in range(4)) >= 2
-    assert htmltext.extract(df.limit(0)).count() == 0
+    pages = [(i, f"http://h.org/a/{i}", f"<div>same top</div><p>own text {i}</p><div>same end</div>") for i in range(4)]
+    pages += [(9, None, None), (10, "http://x.org/", "<p>alone</p>"), (11, "http://h.org/b", "<article><p>own</p></article><p>same top</p>"), (9, None, None), (12, "", "")]
+    got = {(r.page_id, r.text) for r in html_rows(spark, pages)}
+    assert got == {(9, ""), (10, "alone"), (12, ""), *((i, f"own text {i}") for i in range(4)), (11, "own")}
+    assert len(html_rows(spark, pages)) == len(pages) and html_rows(spark, pages[:0]) == []
+
+
+def test_html_neighbours_are_of_one_layout(spark):
+    """Two layouts take turns on the paths of a host; no element or name tells their lines from the story."""
+    page = "<p>top {1}</p><p>menu {1}</p><p>story {0}</p><p>end {1}</p>"
+    rows = [(i, f"http://h.org/{i:02}", page.format(i, i % 2)) for i in range(12)]
+    got = html_rows(spark, rows, marks=frozenset())
+    assert {r.page_id: (r.text, r.n_shared, r.n_named) for r in got} == {i: (f"story {i}", 3, 0) for i in range(12)}
 
 
 @pytest.mark.parametrize("n", [1, 3, 7, 40])
@@ -403,18 +442,21 @@ def test_html_neighbours_in_other_ranges(spark, n):
 def test_html_differencing_beside_articles(spark):
     page = "<div>same top</div><article><p>teaser {0}</p><p>the same line</p></article><div>story {0}</div><div>same end</div>"
     rows = [(i, f"http://h.org/a/{i}", page.format(i)) for i in range(2)] + [(5, "http://x.org/", page.format(5))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text.split("\n\n") for r in htmltext.extract(df.repartition(1)).collect()}
+    got = {r.page_id: r.text.split("\n\n") for r in html_rows(spark, rows)}
     assert all("story" in " ".join(t) and "the same line" in t for t in got.values())
-    assert htmltext.main_text(htmltext.lines(page.format(0)), htmltext.lines(page.format(1))) == "teaser 0\n\nthe same line\n\nstory 0"
+    assert htmltext.main_text(htmltext.lines(page.format(0)), htmltext.lines(page.format(1))) == ("teaser 0\n\nthe same line\n\nstory 0", 2, 0)
+
+
+def article(page):
+    inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
+    return "\n\n".join(p for p in parts if p)
 
 
 def test_html_on_pages(spark):
     page = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op10_html_extraction"](spark, SF).collect():
-        inner = re.search(r"<article>(.*?)(</article>|$)", page[r.page_id], re.S)[1]
-        parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
-        assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        assert r.text == article(page[r.page_id]) and r.n_chars == len(r.text)
 
 
 # the pipeline

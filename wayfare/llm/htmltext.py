@@ -6,7 +6,6 @@ import html as entities
 import json
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -16,123 +15,118 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import common
 
-#: Names of elements and words of class, id or role that mark what isn't the article.
+#: Elements that HTML defines as something else than the text of a page.
 CHROME = frozenset("nav header footer aside form button select textarea menu dialog iframe object svg canvas noscript template head title".split())
 RAW = "script|style|xmp|noembed|noframes"
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that a class, id or role can mark as chrome. Headings and inline text are content.
+BOXED = frozenset("div section p ul ol dl table span li center details fieldset figure".split())
+#: Words of class, id or role for what the method can't see on a page that has nothing like it beside it.
 MARKS = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header menu nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
 #: What a mark's box is called, and first words of class tokens that tell of a page's layout.
 BOXES = frozenset("area bar block bottom box button buttons column container content form group inner item items left link links list modal panel posts right row section slot top unit wrap wrapper".split())
 STATES = frozenset("has have hide is no not show with without".split())
+#: Which open elements a start tag ends, and the elements that it doesn't look beyond.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})),
+}
 
 _GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
-_MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)|[^>=]|=)*+)>|<[!?][^>]*>""")
+_MARK = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 Line = tuple[str, str]  # text, and "main", "chrome" or "other"
 
 
-def _named(token: str) -> bool:
-    """A class token, id or role that is a mark (sidebar), ends in one (site-header), or is the box of one (ad-slot)."""
+def _named(token: str, marks: frozenset[str], inside: bool) -> bool:
+    """A class token, id or role that is a mark (sidebar), ends in one (site-header), or is the box of one (ad-slot).
+    Inside an article, a header is the article's own."""
     words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
-    if not words or words[0] in STATES:
+    if not words or words[0] in STATES or inside and "header" in words:
         return False
-    return words[-1] in MARKS or words[0] in MARKS and all(w in BOXES or w.isdigit() for w in words[1:])
+    return words[-1] in marks or words[0] in marks and all(w in BOXES or w.isdigit() for w in words[1:])
 
 
-def _marked(attributes: str) -> bool:
-    return any(map(_named, " ".join(m[1] or m[2] or m[3] or "" for m in _MARK.finditer(attributes)).split()))
+def lines(page: str | None, marks: frozenset[str] = MARKS) -> list[Line]:
+    """The text lines of a page, in page order: one for each block, with references decoded and white space folded.
 
-
-def wrappers(page: str) -> set[int]:
-    """Where the tags of marked elements and forms start that hold an article or main element, other than one inside
-    another such element or in chrome: they lay out the page."""
-    out: set[int] = set()
-    held: list[tuple[str, int, str]] = []  # name, where it starts, and "main", "chrome", "wrap" or "" of each open element
-    names: Counter[str] = Counter()
-    kinds: Counter[str] = Counter()
-
-    def end(k: int) -> None:
-        for name, _, kind in held[k:]:
-            names[name] -= 1
-            kinds[kind] -= 1
-        del held[k:]
-
-    for m in _TAG.finditer(page):
-        if not m[2] or (name := m[2].lower()) in VOID:
-            continue
-        if held and held[-1][0] == "p" and name in BLOCKS:
-            end(len(held) - 1)
-        if m[1]:
-            if names[name]:
-                end(max(k for k, x in enumerate(held) if x[0] == name))
-            continue
-        if name in ("article", "main"):
-            kind = "main"
-            if not kinds["main"] and not kinds["chrome"]:
-                out.update(start for _, start, k in held if k == "wrap")
-        elif name in CHROME and name != "form":
-            kind = "chrome"
-        else:
-            kind = "wrap" if name == "form" or name not in ("html", "body") and m[3] and _marked(m[3]) else ""
-        if not m[3].endswith("/"):
-            held.append((name, m.start(), kind))
-            names[name] += 1
-            kinds[kind] += 1
-    return out
-
-
-def lines(page: str | None) -> list[Line]:
-    """The text lines of a page, in page order: one for each block, with references decoded and white space folded."""
-    out: list[Line] = []
+    "main" is what stands in an article or main element, "chrome" what stands in an element of CHROME, or in one of BOXED
+    that has one of the marks, unless that holds an article or main element (other than one inside another, or inside
+    chrome): it lays out the page. A header inside an article is the article's own.
+    """
+    out: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # text, in chrome, in main, and the open marked elements
     parts: list[str] = []
-    chrome: list[str] = []  # the element that started the chrome, then open ones of that name
-    main = 0
+    held: list[tuple[str, str, int]] = []  # name, "chrome", "main", "mark" or "", and a number of each open element
+    wraps: set[int] = set()  # marked elements that hold an article
+    open_: dict[str, int] = {}
+    kinds = {"chrome": 0, "main": 0, "mark": 0, "": 0}
 
     def flush() -> None:
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                out.append((text, "chrome" if chrome else "main" if main else "other"))
+                out.append((text, kinds["chrome"] > 0, kinds["main"] > 0, tuple(n for _, k, n in held if k == "mark") if kinds["mark"] else ()))
             parts.clear()
 
+    def end(k: int) -> None:
+        if any(kind for _, kind, _ in held[k:]):
+            flush()
+        for name, kind, _ in held[k:]:
+            open_[name] -= 1
+            kinds[kind] -= 1
+        del held[k:]
+
     page, at = _GONE.sub(" ", page or ""), 0
-    plain = wrappers(page)
     for m in _TAG.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        name, closes = m[2].lower(), bool(m[1])
+        name = m[2].lower()
         if name == "br":
             parts.append(" ")
         if name in BLOCKS or name in CHROME:
             flush()
         if name in VOID:
             continue
-        if chrome and chrome[0] == "p" and name in BLOCKS and not (name == "p" and closes):
-            chrome.clear()  # a paragraph ends where another block starts or its parent ends
-        if chrome:
-            if name == chrome[0]:
-                flush()
-                if closes:
-                    chrome.pop()
-                elif not m[3].endswith("/"):
-                    chrome.append(name)
-            elif closes and name in ("article", "main", "body", "html"):
-                flush()
-                chrome.clear()
-                main = 0 if name in ("body", "html") else max(0, main - 1)
-        elif not closes and m.start() not in plain and (name in CHROME or m[3] and name not in ("html", "body", "article", "main") and _marked(m[3])):
+        if m[1]:
+            if open_.get(name):
+                end(max(k for k, x in enumerate(held) if x[0] == name))
+            continue
+        if name in BLOCKS and open_.get("p"):
+            k = max(k for k, x in enumerate(held) if x[0] in BLOCKS)
+            if held[k][0] == "p":
+                end(k)
+        if name in ENDS:
+            ended, walls = ENDS[name]
+            for k in range(len(held) - 1, -1, -1):
+                if held[k][0] in walls or held[k][0] in ("article", "main", "body"):
+                    break
+                if held[k][0] in ended:
+                    end(k)
+        inside = kinds["main"] > 0
+        if name in ("article", "main"):
+            kind = "main"
+            if not inside and not kinds["chrome"]:
+                wraps.update(n for _, k, n in held if k == "mark")
+        elif name in CHROME and not (name == "header" and inside):
+            kind = "mark" if name == "form" else "chrome"
+        elif name in BOXED and m[3] and any(_named(t, marks, inside) for x in _MARK.finditer(m[3]) for t in (x[1] or x[2] or x[3] or "").split()):
+            kind = "mark"
+        else:
+            kind = ""
+        if kind:
             flush()
-            if not m[3].endswith("/"):
-                chrome.append(name)
-        elif name in ("article", "main"):
-            main = max(0, main - 1) if closes else main + 1
+        if not m[3].endswith("/"):
+            held.append((name, kind, m.start()))
+            open_[name] = open_.get(name, 0) + 1
+            kinds[kind] += 1
     parts.append(page[at:])
     flush()
-    return out
+    return [(text, "chrome" if chrome or any(n not in wraps for n in marked) else "main" if main else "other") for text, chrome, main, marked in out]
 
 
 def shared(a: list[Line], b: list[Line]) -> set[int]:
@@ -158,22 +152,29 @@ def shared(a: list[Line], b: list[Line]) -> set[int]:
     return out
 
 
-def main_text(own: list[Line], beside: list[Line] | None) -> str:
-    """Lines outside the chrome, less those shared with the page beside it. Lines inside an article or main element are
-    the page's own even if another article repeats them; a page of which all lines are shared (a copy) keeps them."""
+def main_text(own: list[Line], beside: list[Line] | None) -> tuple[str, int, int]:
+    """The lines that are left, how many were deleted since the page beside shares them, and how many more by their
+    elements. Lines inside an article or main element are the page's own even if another article repeats them; a page of
+    which all lines are shared (a copy) keeps them."""
     gone = shared(own, beside) if beside else set()
     if len(gone) == len(own):
         gone = set()
-    return "\n\n".join(text for i, (text, kind) in enumerate(own) if kind == "main" or kind == "other" and i not in gone)
+    cut = [kind != "main" and i in gone for i, (_, kind) in enumerate(own)]
+    kept = [text for (text, kind), c in zip(own, cut, strict=True) if not c and kind != "chrome"]
+    n_shared = sum(cut)
+    return "\n\n".join(kept), n_shared, len(own) - n_shared - len(kept)
 
 
 ADDRESS = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-KEY = ["host", "path", "page_id"]
+#: The first text of the body.
+OPENING = r">\s*([^<>\s][^<]{0,99})"
+KEY = ["host", "opening", "path", "page_id"]
+PLACES = "host string, opening long, path string"
 
 
-def _place(host: str, path: str, page_id: int | None) -> tuple:
+def _place(host: str, opening: int, path: str, page_id: int | None) -> tuple:
     """A key as Spark orders it: text by code points, null ids first."""
-    return host, path, page_id is not None, page_id or 0
+    return host, opening, path, page_id is not None, page_id or 0
 
 
 def ranges(keyed: DataFrame) -> list[tuple[tuple, tuple]]:
@@ -189,15 +190,15 @@ def dealt(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     found = ranges(keyed)
     # binary search, of the starts as one literal
-    starts = F.from_json(F.lit(json.dumps([dict(zip(KEY, first)) for first, _ in found])), "array<struct<host: string, path: string, page_id: long>>")
+    starts = F.from_json(F.lit(json.dumps([dict(zip(KEY, first)) for first, _ in found])), "array<struct<host: string, opening: long, path: string, page_id: long>>")
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(found).bit_length())))) if found else F.array().cast("array<int>")
     passed = lambda k: (k <= len(found)) & (F.get(starts, k - 1) <= F.struct(*KEY))
     of = F.greatest(F.aggregate(halves, F.lit(0), lambda k, x: F.when(passed(k + x), k + x).otherwise(k)) - 1, F.lit(0))
 
     steps = [(i, *x) for i, x in enumerate(zip(found, found[1:])) if x[0][1][0] == x[1][0][0]]
     visits = [(*ends[1], i + 1) for i, ends, _ in steps] + [(*ends[0], i) for i, _, ends in steps]
-    visits = spark.createDataFrame(visits, "host string, path string, id string, range int")
-    same = [keyed["host"] == visits["host"], keyed["path"] == visits["path"], F.col("page_id").cast("string").eqNullSafe(visits["id"])]
+    visits = spark.createDataFrame(visits, f"{PLACES}, id string, range int")
+    same = [*(keyed[c] == visits[c] for c in KEY[:3]), F.col("page_id").cast("string").eqNullSafe(visits["id"])]
     # at most two rows for each task
     guests = keyed.join(F.broadcast(visits), same).select(*(keyed[c] for c in keyed.columns), "range", F.lit(True).alias("guest"))
     own = keyed.withColumn("range", of).withColumn("guest", F.lit(False))
@@ -205,43 +206,50 @@ def dealt(keyed: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("range", *KEY, F.xxhash64("url", "html"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for each row of pages: the main text of its whole html.
+def extract(pages: DataFrame, marks: frozenset[str] = MARKS) -> DataFrame:
+    """(page_id, url, text, n_shared, n_named) for each row of pages: the main text of its whole html, how many lines
+    were deleted since a page beside it shares them, and how many more by the names of their elements.
 
-    Pages are dealt by ranges of (host, URL path, page_id) and sorted, so that a host with any share of the pages is
-    spread over tasks and each task holds three pages at a time. The pages at the ends of a range are sent to the range
+    Pages are dealt by ranges of (host, opening, URL path, page_id) and sorted, where pages of one opening begin with the
+    same text (up to 100 characters): a host of many layouts has the nearest URL of a layout side by side, and a host of one
+    layout the nearest URL. So a host with any share of the pages is spread over tasks and each task holds three pages
+    at a time. The pages at the ends of a range are sent to the range
     beside it too, so that the text doesn't depend on the number of ranges. A page is compared with the page before or
-    after it of its host, that with the longer common start of the path (the one before, if equal). A page without such
-    a neighbour is judged by its elements alone. A null html is empty and gives an empty text; a null url counts as an
-    empty host and path, and is returned as null. Repeated rows and ids give a row each.
+    after it of its host: one of its opening if there is any, then that with the longer common start of the path (the one
+    before, if equal). Lines outside of articles that both pages hold, aligned, are deleted. A line that no page beside
+    shares is judged by its elements alone: see lines(). A null html is empty and gives an empty text; a null url counts as
+    an empty host and path, and is returned as null. Repeated rows and ids give a row each. Other columns aren't read.
     """
-    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64()), ("n_named", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple | None]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield tuple(batch.column(k)[i].as_py() for k in range(6))
+                    yield tuple(batch.column(k)[i].as_py() for k in range(7))
             yield None
 
         before = now = None
         out: list[tuple] = []
         for row in rows():
-            following = row and (row[2], row[3], lines(row[4]), row[0], row[1], row[5])
-            if now and not now[5]:
+            following = row and (row[2], row[3], row[4], lines(row[5], marks), row[0], row[1], row[6])
+            if now and not now[6]:
                 near = [x for x in (before, following) if x and x[0] == now[0]]
-                best = max(near, key=lambda x: len(commonprefix([x[1], now[1]])), default=None)
-                out.append((now[3], now[4], main_text(now[2], best and best[2])))
+                best = max(near, key=lambda x: (x[1] == now[1], len(commonprefix([x[2], now[2]]))), default=None)
+                out.append((now[4], now[5], *main_text(now[3], best and best[3])))
             before, now = now, following
             if len(out) == 64 or row is None and out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind.field(k).type) for k in range(3)], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kind)], schema=kind)
                 out = []
 
+    html = F.col("html").cast("string")
+    body = F.substr(html, F.greatest(F.lit(1), F.locate("<body", F.lower(html))))
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.lower(F.coalesce(F.regexp_extract("url", ADDRESS, 1), F.lit(""))).alias("host"),
+        F.xxhash64(F.coalesce(F.regexp_extract(body, OPENING, 1), F.lit(""))).alias("opening"),
         F.coalesce(F.regexp_extract("url", ADDRESS, 2), F.lit("")).alias("path"),
-        F.col("html").cast("string").alias("html"),
+        html.alias("html"),
     )
-    return dealt(keyed).select("page_id", "url", "host", "path", "html", "guest").mapInArrow(run, "page_id long, url string, text string")
+    return dealt(keyed).select("page_id", "url", "host", "opening", "path", "html", "guest").mapInArrow(run, "page_id long, url string, text string, n_shared long, n_named long")
