@@ -334,6 +334,57 @@ def test_language_id(spark):
     assert none.languages == [] and langid.identify(odd, none).where("lang_pred <> 'und'").count() == 0
 
 
+def by_hand(model, text, most):
+    """Shares of the chosen set, one segment and language at a time."""
+    data = b" " + text.encode().translate(langid.LETTERS) + b" "
+    cuts = range(0, max(1, len(data) - 2), langid.SEGMENT)
+    like = []
+    for lo in cuts:
+        codes = [langid.cells(np.frombuffer(data[k : k + 3], np.uint8))[0] for k in range(lo, min(lo + langid.SEGMENT, len(data) - 2))]
+        like.append([float(sum(model.logs[c, j] for c in codes)) for j in range(len(model.languages))])
+
+    def em(own):
+        share = {j: 1 / len(own) for j in own}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(own, 0.0)
+            for row in like:
+                top = max(row[j] for j in own)
+                part = {j: share[j] * np.exp(row[j] - top) for j in own}
+                for j in own:
+                    new[j] += part[j] / sum(part.values()) / len(like)
+            share = new
+        return share, sum(np.log(sum(share[j] * np.exp(row[j] - max(row[i] for i in own)) for j in own)) + max(row[j] for j in own) for row in like)
+
+    first, _ = em(range(len(model.languages)))
+    order = sorted(first, key=lambda j: (-first[j], j))
+    fits = [(em(order[:k]), k) for k in range(1, most + 1)]
+    (share, _), _ = max(fits, key=lambda f: (f[0][1] - (f[1] - 1) * (np.log(len(like) + 1) + 4), -f[1]))
+    return {model.languages[j]: s for j, s in share.items()}
+
+
+def test_language_mixtures_by_hand(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(df)
+    by = {r.lang: r.text for r in df.where("n_chars BETWEEN 1200 AND 9000").collect()}
+    a, b, c, d = (by[x] for x in ("en", "de", "fr", "es"))
+    texts = [a[:300], a[:400] + " " + b[:400], a[:700] + c[:200], a[:300] + b[:300] + c[:300] + d[:300], "x", "zzzz qqq " * 30, b[:64], a[:128] + d[:65]]
+    for most, piece in ((None, 1 << 22), (2, 64)):  # the second works in slices of a segment or a few
+        monkeypatch.setattr(langid, "SLICE", piece)
+        order, shares, _ = langid.infer(model, [t.encode() for t in texts], most)
+        for t, s in zip(texts, shares, strict=True):
+            want = by_hand(model, t, most or 4)
+            assert {model.languages[j]: x for j, x in enumerate(s) if x > 0} == pytest.approx({k: x for k, x in want.items() if x > 0}, abs=1e-3)
+
+
+def test_any_number_of_languages(spark):
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20] * 3}{'uvwxyz'[i % 6]} {i:04}".translate(str.maketrans("0123456789", "ghijklmnop")), f"l{i // 3}", "", 0) for i in range(1800)]
+    model = langid.fit(docs(spark, rows))
+    assert len(model.languages) > 550
+    one = next(r for r in rows if zlib.crc32(str(r[0]).encode()) % 5)
+    (got,) = langid.identify(docs(spark, [one]).withColumn("Lang_Pred", F.lit(1)), model).collect()
+    assert got.lang_pred in model.languages and got.gain > 0
+
+
 # 9
 
 

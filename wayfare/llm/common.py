@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,10 +73,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, or, only where none is named, a local one for tests."""
+    """The folder for checkpoints: the cluster's own, or, only where none is named and all runs on one machine (tests), a
+    local one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "wayfare-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -126,12 +130,31 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], by: str, how:
 
 
 def widened(docs: DataFrame, added: str) -> tuple[list[str], StructType, pa.Schema]:
-    """The columns of docs that stay when those of the DDL string are added (or replaced), and the schema with both."""
+    """The columns of docs that stay when those of the DDL string are added (or replaced: Spark's names ignore case), and
+    the schema with both."""
     new = StructType.fromDDL(added)
-    kept = [c for c in docs.columns if c not in new.names]
+    kept = without(docs, *new.names)
     both = StructType([*(docs.schema[c] for c in kept), *new])
     return kept, both, to_arrow_schema(both)
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df that have none of the names, in any case of letters."""
+    low = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ before it as it takes that no column of df has it, in any case of letters."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
