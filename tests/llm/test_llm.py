@@ -262,8 +262,9 @@ def classes(texts, size, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [256, 6])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block, limit", [(256, 1 << 21), (6, 1 << 21), (256, 1 << 10)])
+def test_near_duplicates(spark, block, limit, monkeypatch):
+    monkeypatch.setattr(neardup, "LIMIT", limit)
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 500, 80)]
     texts = [" ".join(base)] * 5
@@ -280,6 +281,15 @@ def test_near_duplicates(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_a_long_chain(spark):
+    """Each text shares bands with the next, so that candidates hang together; links are few."""
+    words = [f"w{x}" for x in np.random.default_rng(6).integers(0, 10**6, 60_000)]
+    texts = [" ".join(words[6 * i : 6 * i + 40]) for i in range(9_000)]
+    texts[5000:5000] = [texts[100] + " end", texts[7000] + " end"]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=85).where("NOT kept").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5000, 100), (7002, 5001)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     assert neardup.near_duplicates(docs(spark, [None, ""])).where("kept").count() == 2
