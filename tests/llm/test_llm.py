@@ -163,6 +163,26 @@ def test_suffix_dedup(spark):
     assert {r.doc_id: bytes(r.kept) for r in got} == want
     assert all(r.n_bytes - r.n_removed == len(r.kept) for r in got)
     assert suffixdedup.remove_repeats(docs(spark, [])).count() == 0
+    nulls = [(None, p, "", "", 0), (3, p + "x", "", "", 0), (None, p, "", "", 0), (3, p + "x", "", "", 0), (None, None, "", "", 0)]
+    got = [(r.doc_id, bytes(r.kept).decode()) for r in suffixdedup.remove_repeats(docs(spark, nulls)).collect()]
+    assert sorted(got, key=str) == sorted([(None, ""), (3, p + "x"), (None, ""), (3, p + "x"), (None, "")], key=str)
+
+
+def test_suffix_dedup_compares_bytes(monkeypatch):
+    """With names of 2 bits, and marks that all meet at one place."""
+    rng = np.random.default_rng(9)
+    strings = rng.integers(0, 2, (300, 5)).astype(np.uint8)
+    docs_ = rng.integers(0, 40, 300)
+    got = set(suffixdedup._repeats(strings, strings.sum(1).astype(np.uint64) % 4, docs_).tolist())
+    assert got == {i for i in range(300) if any(docs_[j] < docs_[i] and (strings[j] == strings[i]).all() for j in range(300))}
+    monkeypatch.setattr(suffixdedup._Marked, "mixed", staticmethod(lambda d, k: (k % np.uint64(3))))
+    keys = rng.integers(0, 50, 200).astype(np.uint64)
+    d, masks = rng.integers(0, 9, 200), rng.integers(1, 8, 200).astype(np.uint64)
+    marked = suffixdedup._Marked([d[:90], d[90:]], [keys[:90], keys[90:]], [masks[:90], masks[90:]])
+    for x in range(10):
+        for k in range(52):
+            want = np.bitwise_or.reduce(masks[(d == x) & (keys == k)], initial=np.uint64(0))
+            assert marked.of(np.array([x]), np.array([k], np.uint64))[0] == want
 
 
 # 5

@@ -5,8 +5,8 @@ at an anchor, a 16-byte string with the smallest hash among all that lie in some
 have their anchor at the same offset, so (as with a difference cover) two of them can be compared through a sampled
 suffix at equal distance from both. The sampled suffixes are dealt into buckets by their first 16 bytes; one bucket at a
 time is sorted, by the name of those bytes and then by the name of all that can matter around them. Only ties of the
-first part whose surroundings differ have their bytes compared: in a second pass their surroundings are gathered, and
-their 50-byte strings are told apart by the names of four 16-byte samples each.
+first part whose surroundings differ are looked at again: in a second pass their surroundings are gathered, and
+their 50-byte strings are sorted by the names of four 16-byte samples each, and those of one name compared byte by byte.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SPAN = LEFT + LENGTH  # bytes around and after it
 OFFSETS = LEFT + 1
 ALL = np.uint64((1 << OFFSETS) - 1)
 FLUSH = 8 << 20  # bytes of text of which a task packs the rows together
+NULL = 2**63 - 1  # stands for a null doc_id, so that it comes last
 PIECE = 1 << 18
 _U = np.uint64
 _BYTES = common.mix(np.arange(1, 257, dtype=np.uint64))
@@ -115,13 +116,22 @@ PACKED_SQL = "part int, kind int, a binary, b binary, c binary, d binary, e bina
 CHECK, FULL, MASKS, TEXTS = 0, 1, 2, 3  # marks sort before texts
 
 
-def _emit_anchors(buckets: int):
-    """a: doc_ids; b: index into a (u4); c: low 40 bits of the name (u4 and u1 after it); d: 48 bits of the key (u4, u2)."""
+def _emit_anchors(buckets: int, shards: int):
+    """Of each anchor with its surroundings the smallest document among the texts at hand, for the buckets (a: doc_ids;
+    b: index into a, u2 or u4 as kind says; c: low 40 bits of the name, u4 and u1 after it; d: 48 bits of the key, u4 and
+    u2). The others' documents aren't the smallest, wherever that is: they are FULL marks at once, so that a passage which
+    every document holds sends a bucket one row for each 8 MB of text."""
 
-    def packed(docs: list[np.ndarray], low: list[np.ndarray], part: list[np.ndarray], key: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(docs: list[np.ndarray], low: list[np.ndarray], part: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         docs_, low_, part_, key_ = map(np.concatenate, (docs, low, part, key))
-        order = np.lexsort((docs_, low_, part_))
+        order = np.lexsort((docs_, key_, low_, part_))
         docs_, low_, part_, key_ = docs_[order], low_[order], part_[order], key_[order]
+        first = np.r_[True, (np.diff(low_) != 0) | (np.diff(key_) != 0) | (np.diff(part_) != 0)]
+        least = np.repeat(docs_[first], np.diff(np.r_[np.flatnonzero(first), len(docs_)]))
+        fulls = _Marks(FULL, shards)
+        fulls.add(docs_[docs_ > least], key_[docs_ > least])
+        yield from fulls.rows()
+        docs_, low_, part_, key_ = docs_[first], low_[first], part_[first], key_[first]
         out = []
         for p, lo, hi in _cuts(part_):
             ids, index = np.unique(docs_[lo:hi], return_inverse=True)
@@ -130,7 +140,7 @@ def _emit_anchors(buckets: int):
             c = low_[lo:hi].astype(np.uint32).tobytes() + (low_[lo:hi] >> _U(32)).astype(np.uint8).tobytes()
             d = around.astype(np.uint32).tobytes() + (around >> _U(32)).astype(np.uint16).tobytes()
             out.append((p, index.itemsize, ids.tobytes(), index.tobytes(), c, d, None))
-        return _rows(PACKED, out)
+        yield _rows(PACKED, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -145,10 +155,10 @@ def _emit_anchors(buckets: int):
                 held.append((docs[keep], found.low[keep], ((found.name[keep] >> _U(40)) % _U(buckets)).astype(np.int64), found.key[keep]))
             size += sum(len(x or b"") for x in texts)
             if size >= FLUSH and held:
-                yield packed(*zip(*held, strict=True))
+                yield from packed(*zip(*held, strict=True))
                 held, size = [], 0
         if held:
-            yield packed(*zip(*held, strict=True))
+            yield from packed(*zip(*held, strict=True))
 
     return run
 
@@ -199,13 +209,19 @@ def _sort_anchors(shards: int):
         fulls, checks = _Marks(FULL, shards), _Marks(CHECK, shards)
         for _, rows in _by_part(batches):
             docs, low, key = [], [], []
+            if passed := [r for r in rows if r["kind"] == FULL]:
+                yield _rows(PACKED, [tuple(r.values()) for r in passed])
             for r in rows:
+                if r["kind"] == FULL:
+                    continue
                 index = np.frombuffer(r["b"], np.uint16 if r["kind"] == 2 else np.uint32)
                 n = len(index)
                 docs.append(np.frombuffer(r["a"], np.int64)[index])
                 low.append(np.frombuffer(r["c"], np.uint32, n).astype(np.uint64) | (np.frombuffer(r["c"], np.uint8, n, 4 * n).astype(np.uint64) << _U(32)))
                 around = np.frombuffer(r["d"], np.uint32, n).astype(np.uint64) | (np.frombuffer(r["d"], np.uint16, n, 4 * n).astype(np.uint64) << _U(32))
                 key.append((around << _U(16)) | (low[-1] & _U(0xFFFF)))
+            if not docs:
+                continue
             docs, low, key = map(np.concatenate, (docs, low, key))
             order = np.lexsort((docs, key, low))
             docs, low, key = docs[order], low[order], key[order]
@@ -275,20 +291,28 @@ class _Marked:
     """Masks by (doc_id, key)."""
 
     def __init__(self, docs: list[np.ndarray], keys: list[np.ndarray], masks: list[np.ndarray]):
-        mixed = self.mixed(np.concatenate(docs), np.concatenate(keys)) if docs else np.zeros(0, np.uint64)
+        self.docs, self.keys, self.masks = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((docs, np.int64), (keys, np.uint64), (masks, np.uint64)))
+        mixed = self.mixed(self.docs, self.keys)
         order = np.argsort(mixed, kind="stable")
-        self.by, self.masks = mixed[order], np.concatenate(masks)[order] if masks else np.zeros(0, np.uint64)
+        self.by, self.docs, self.keys, self.masks = (x[order] for x in (mixed, self.docs, self.keys, self.masks))
 
     @staticmethod
     def mixed(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
         return _pair(common.mix(docs.view(np.uint64)), keys)
 
     def of(self, docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """All masks of each (doc_id, key) together; others that mix to the same number don't count."""
+        out = np.zeros(len(docs), np.uint64)
         if not len(self.by):
-            return np.zeros(len(docs), np.uint64)
+            return out
         mixed = self.mixed(docs, keys)
-        at = np.minimum(np.searchsorted(self.by, mixed), len(self.by) - 1)
-        return np.where(self.by[at] == mixed, self.masks[at], _U(0))
+        at, rest = np.searchsorted(self.by, mixed), np.arange(len(docs))
+        while len(rest := rest[(at[rest] < len(self.by))]):
+            rest = rest[self.by[at[rest]] == mixed[rest]]
+            own = rest[(self.docs[at[rest]] == docs[rest]) & (self.keys[at[rest]] == keys[rest])]
+            out[own] |= self.masks[at[own]]
+            at[rest] += 1
+        return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[tuple[_Marked, dict]]:
@@ -354,6 +378,18 @@ def _emit_around(buckets: int):
     return run
 
 
+def _repeats(strings: np.ndarray, told: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where the same string (a row of bytes, with the name told) is in a smaller document, too."""
+    out, rest = [], np.lexsort((docs, told))
+    while len(rest):
+        firsts = np.flatnonzero(np.r_[True, np.diff(told[rest]) != 0])
+        heads = np.repeat(rest[firsts], np.diff(np.r_[firsts, len(rest)]))
+        same = np.concatenate([(strings[rest[lo : lo + 65536]] == strings[heads[lo : lo + 65536]]).all(1) for lo in range(0, len(rest), 65536)])
+        out.append(rest[same & (docs[rest] > docs[heads])])
+        rest = rest[~same]  # other strings of the same name
+    return np.concatenate(out) if out else rest
+
+
 def _sort_around(shards: int):
     """Of each bucket: which of the 50-byte strings around an anchor a smaller document has, too, as masks of offsets."""
 
@@ -374,11 +410,7 @@ def _sort_around(shards: int):
                 told = name[whole]
                 for s in (o, o + ANCHOR, o + 2 * ANCHOR, o + LENGTH - ANCHOR):
                     told = _pair(told, samples[whole, s])
-                order = np.lexsort((docs[whole], told))
-                own = whole[order]
-                firsts = np.flatnonzero(np.r_[True, np.diff(told[order]) != 0])
-                least = np.repeat(docs[own[firsts]], np.diff(np.r_[firsts, len(own)]))
-                masks[own[docs[own] > least]] |= _U(1 << o)
+                masks[whole[_repeats(around[whole, o : o + LENGTH], told, docs[whole])]] |= _U(1 << o)
             kept = np.flatnonzero(masks)
             marks.add(docs[kept], key[kept], masks[kept])
             yield from marks.rows(FLUSH // 16)
@@ -423,22 +455,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Sampled suffixes, surroundings and texts are moved as packed arrays, a row for each bucket or shard and 8 MB of
     text; a bucket or shard is worked on alone, so that a task holds one of several hundred parts of the corpus. Copies
     need no comparison beyond the smallest one's: a byte string that thousands of documents hold is one name with one
-    smallest document. Names are 64-bit hashes (88 bits for an anchor with its surroundings).
+    smallest document in each 8 MB of text. An anchor with all its surroundings has a name of 88 bits (at 10^12 anchors
+    one false pair is expected about once in 600 such corpora); strings of anchors whose surroundings differ are compared
+    byte by byte, and marks meet documents by doc_id and key, not by their hash alone.
 
     Null and empty texts, and those under 50 bytes, lose nothing; kept is then the text, empty for null. Repeats within
-    a document, and between rows of the same doc_id, don't count. Other columns aren't read. A row with a null doc_id
-    counts as the largest doc_id and is returned with it, 2 ** 63 - 1.
+    a document, and between rows of the same doc_id, don't count. Other columns aren't read. Rows with a null doc_id count
+    as one document after all others (the doc_id 2 ** 63 - 1 among them) and are returned with null.
     """
     n = common.tasks(docs.sparkSession)
     buckets = 4 * n
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def by_part(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "part").sortWithinPartitions("part", "kind")
+        """Dealt by the part itself, so that each of the n tasks has as many parts as the others."""
+        return df.repartitionById(n, "part").sortWithinPartitions("part", "kind")
 
     texts = rows.mapInArrow(_emit_texts(n), PACKED_SQL)
-    marks = common.cut(by_part(rows.mapInArrow(_emit_anchors(buckets), PACKED_SQL)).mapInArrow(_sort_anchors(n), PACKED_SQL))
+    marks = common.cut(by_part(rows.mapInArrow(_emit_anchors(buckets, n), PACKED_SQL)).mapInArrow(_sort_anchors(n), PACKED_SQL))
     around = by_part(marks.where(f"kind = {CHECK}").unionByName(texts)).mapInArrow(_emit_around(buckets), PACKED_SQL)
     masks = by_part(around).mapInArrow(_sort_around(n), PACKED_SQL)
     final = by_part(marks.where(f"kind = {FULL}").unionByName(masks).unionByName(texts))
-    return final.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = final.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL, F.col("doc_id")))
