@@ -423,7 +423,7 @@ def test_chat(spark):
     rows = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", f"{nasty} {i} " * (i * 9)) for i in range(12)]
     rows += [(2, 0, "user", None), (2, 0, "assistant", "x"), (2, None, None, "first"), (None, 1, "user", "q"), (3, 1, "assistant", "y" * 9000), (3, 2, "user", ""), (4, 1, "odd]role", "z"), (4, 1, "odd]role", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)).withColumn("turns", F.lit(1))
-    out = chat.format_windows(df, budget=1500, history=900)
+    out = chat.format_windows(df, budget=2800, history=900)
     got = {r.conv_id: r for r in chat.read_back(out).collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
     for c in {r[0] for r in rows}:
@@ -435,6 +435,52 @@ def test_chat(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def windows_by_hand(turns, budget, history):
+    """(first new turn, end, first repeated turn, system turn kept, tokens) of each window of (role, escaped text)."""
+    cost = [-(-(len(f"[TURN:{r}]") + len(t) + 4) // 4) for r, t in turns]
+    system = cost[0] if turns[0][0] == "system" and cost[0] < budget - 1 - history else None
+    out, at = [], 0
+    while at < len(turns):
+        room = budget - 1 if at == 0 else budget - 1 - history - (system or 0)
+        end = at + 1
+        while end < len(turns) and sum(cost[at : end + 1]) <= room:
+            end += 1
+        new = sum(cost[at:end])
+        keep = at > 0 and system is not None and system + new < budget
+        left = min(history, budget - 1 - new - (system if keep else 0))
+        past = at
+        while past - 1 >= (turns[0][0] == "system") and sum(cost[past - 1 : at]) <= left:
+            past -= 1
+        out.append((at, end, past, keep, 1 + (system if keep else 0) + sum(cost[past:end])))
+        at = end
+    return out
+
+
+def test_chat_windows_by_hand(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(40):
+        roles = (["system"] if c % 2 else []) + ["user", "assistant"] * int(rng.integers(1, 12))
+        rows += [(c, i, r, "x" * int(rng.integers(0, 90) if rng.random() < 0.9 else rng.integers(200, 600))) for i, r in enumerate(roles)]
+    rows += [(90, 0, "system", "s" * 900), (90, 1, "user", "u" * 30), (90, 2, "assistant", "a" * 300), (90, 3, "user", "u" * 9), (90, 4, "assistant", "a" * 500)]
+    rows += [(91, i, "user" if i % 2 else "assistant", "long") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history in ((100, 30), (64, 0), (128, 100)):
+        got = {}
+        for w in chat.format_windows(df, budget, history).orderBy("conv_id", "window").collect():
+            got.setdefault(w.conv_id, []).append(w)
+        for c in got:
+            turns = [(r[2], r[3]) for r in rows if r[0] == c]
+            want = windows_by_hand(turns, budget, history)
+            assert len(got[c]) == len(want)
+            for w, (at, end, past, keep, tokens) in zip(got[c], want, strict=True):
+                told = lambda kind, some: "".join(f"[{kind}:{r}]{t}</s>" for r, t in some)
+                assert w.formatted == "<s>" + told("KEPT", turns[:1] if keep else []) + told("PAST", turns[past:at]) + told("TURN", turns[at:end])
+                assert w.n_tokens == tokens >= len(w.formatted) / 4
+                assert tokens <= budget or end - at == 1 and past == at and not keep
+                assert [w.formatted[s.start : s.end] for s in w.loss_spans] == [t for r, t in turns[at:end] if r == "assistant"]
+
+
 # 10
 
 

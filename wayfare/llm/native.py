@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of a word, once A-Z are lowered: all but ASCII punctuation, white space and controls.
 WORD = r"0-9a-z\x{80}-\x{10FFFF}"
 _STEP = 256
+_CHUNK = 4096
 
 
 def lowered(text: str) -> Column:
@@ -22,20 +26,33 @@ def n_words(low: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, f"[^{WORD}]+"))).cast("long")
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all items before each item, and of all: one more than there are items. Works in steps of 256 items, as
-    adding to an array copies it."""
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(lengths) / _STEP).cast("int") - 1))
-    cut = F.transform(steps, lambda i: F.slice(lengths, i * _STEP + 1, F.lit(_STEP)))
+def running(items: Column, op: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """The sums of all items before each item, and of all: one more than there are items. Or what else `op` makes of
+    them from 0 on, if it is associative. Works in steps of 256 items, as adding to an array copies it."""
+    zero = F.lit(0).cast("long")
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / _STEP).cast("int") - 1))
+    cut = F.transform(steps, lambda i: F.slice(items, i * _STEP + 1, F.lit(_STEP)))
 
-    def upto(items: Column, start: Column) -> Column:
-        return F.aggregate(items, F.array(start.cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def upto(some: Column, start: Column) -> Column:
+        return F.aggregate(some, F.array(start.cast("long")), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    totals = upto(F.transform(cut, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)), F.lit(0))
+    totals = upto(F.transform(cut, lambda x: F.aggregate(x, zero, op)), zero)
     inner = F.transform(F.arrays_zip(cut.alias("c"), totals.alias("t")), lambda z: F.when(z["c"].isNotNull(), F.slice(upto(z["c"], z["t"]), F.lit(1), F.size(z["c"]))))
     return F.concat(F.flatten(F.filter(inner, lambda x: x.isNotNull())), F.array(F.element_at(totals, -1)))
 
 
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of the text that in_chunks() cut up. Reads only the chunks that it touches."""
+    lo, hi = start.cast("int"), end.cast("int")
+    touched = F.sequence((lo / _CHUNK).cast("int"), ((hi - 1) / _CHUNK).cast("int"))
+    part = lambda k: F.substring(F.get(chunks, k), F.greatest(lo - k * _CHUNK, F.lit(0)) + 1, F.least(hi - k * _CHUNK, F.lit(_CHUNK)) - F.greatest(lo - k * _CHUNK, F.lit(0)))
+    return F.when(hi > lo, F.array_join(F.transform(touched, part), "")).otherwise(F.lit(""))
+
+
+def in_chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
 def places(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """The matches of a pattern that can't match nothing, as (start, kind, end, part): code points, and the group's text.
     What split() leaves between the matches gives their positions."""
