@@ -2,6 +2,8 @@
 
 import hashlib
 import html
+import math
+import random
 import re
 import zlib
 
@@ -126,6 +128,70 @@ def test_secrets(spark):
     red = {r.doc_id: r.r for r in red}
     assert red[5] == "x [SECRET] y [SECRET]" and red[8] == texts[8] and red[6] is None and "hunter22" not in red[0]
     assert key and secrets.find_secrets(docs(spark, [])).count() == 0
+    clash = docs(spark, texts).withColumn("Spans", F.lit(2)).drop("spans").withColumn("base", F.lit(3)).withColumn("_TRIED", F.lit(4))
+    again = secrets.find_secrets(clash)
+    assert [c for c in again.columns if c.lower() == "spans"] == ["spans"] and {r.doc_id: r.spans for r in again.collect()} == {i: r.spans for i, r in got.items()}
+
+
+def battery(s):
+    """The combined p of a string, written out."""
+    normal = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    alphabet = next((a for a in secrets.ALPHABETS.values() if set(s) <= set(a)), "".join(sorted(set("".join(secrets.ALPHABETS.values())))))
+    n, k, v = len(s), len(alphabet), [alphabet.index(c) for c in s]
+    chi, free = sum((s.count(c) - n / k) ** 2 / (n / k) for c in alphabet), k - 1
+    even = 2 * normal(-abs(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))))
+    above = [x >= k / 2 for x in v]
+    a, b = sum(above), n - sum(above)
+    turns, mean = 1 + sum(x != y for x, y in zip(above, above[1:])), 2 * a * b / n + 1
+    runs = 2 * normal(-abs(turns - mean) / math.sqrt(max(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)), 1e-9)))
+    m = sum(v) / n
+    r = sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / max(sum((x - m) ** 2 for x in v), 1e-9)
+    y = -sum(math.log(max(p, 1e-100)) for p in (even, runs, 2 * normal(-abs(r + 1 / n) * math.sqrt(n))))
+    return math.exp(-y) * (1 + y + y * y / 2)
+
+
+def test_random_strings(spark):
+    rng = random.Random(3)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    drawn = [draw(secrets.ALPHABETS[a], n) for a in ("base62", "base64url", "BASE36") for n in (24, 40, 80) for _ in range(40)]
+    plain = ["the_order_of_2_words_" * n + str(i) for n in (1, 2, 4) for i in range(60)] + ["a1" * 12, "0" * 30 + "a"]
+    strings = drawn + plain
+    found = {r.doc_id: r.x for r in docs(spark, [f"see {s} there" for s in strings]).select("doc_id", secrets.candidates(F.col("text")).alias("x")).collect()}
+    counts = {}
+    for i, s in enumerate(strings):
+        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+            assert found[i] == []
+            continue
+        (x,) = found[i]
+        p = battery(s)
+        assert (x.start, x.end) == (4, 4 + len(s)) and abs(x.bin + 20 * math.log(max(p, 1e-300))) <= 1.5 or x.bin > 300 and p < math.exp(-15)
+        key = ((len(s) >= 32) + (len(s) >= 64), x.bin)
+        counts[key] = counts.get(key, 0) + 1
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs(spark, [f"see {s} there" for s in strings])).collect()}
+    most = secrets.largest_bins(counts, 0.05)
+    assert all(bool(got[i]) == any(x.bin <= most[getattr(x, "class")] for x in found[i]) or any(s.kind < 3 for s in got[i]) for i in range(len(strings)))
+    hits = [i for i in range(len(strings)) if any(s.kind == 3 for s in got[i])]
+    assert len([i for i in hits if i < len(drawn)]) > 0.9 * len(drawn) and len([i for i in hits if i >= len(drawn)]) < 0.1 * len(hits)
+
+
+def test_redaction(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(30):
+        text = "".join(rng.choice("ab é日\n𝄞") for _ in range(rng.choice((10, 4095, 4096, 4097, 20_000))))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.choice((1, 4, 60)) * 2)))
+        spans = sorted((a, rng.randrange(4), min(len(text), b + rng.choice((0, 0, 5)))) for a, b in zip(cuts[::2], cuts[1::2]))
+        rows.append((i, text, spans))
+    rows += [(98, "all", [(0, 0, 3)]), (99, "", []), (97, None, [])]
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start: bigint, kind: int, end: bigint>>")
+    got = {r.i: r.r for r in df.select("i", secrets.redact(F.col("text"), F.col("spans")).alias("r")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for k, (a, _, b) in enumerate(spans):
+            if a > at or k == 0:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[i] == (out + text[at:] if spans else text)
 
 
 def test_running_sums(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.native import running
+from wayfare.llm.native import once, running
 
 #: Characters of which marks are made, and what stands for them in roles and texts: & first, and decoded last.
 ESCAPES = {"&": "&amp;", "<": "&lt;", "[": "&#91;", "]": "&#93;"}
@@ -111,14 +111,17 @@ def format_windows(rows: DataFrame, budget: int = 2048, history: int = 512) -> D
         return F.struct(k.alias("window"), head.alias("head"), _array(F.col("turns"), at, end).alias("new"), (1 + kept + F.get("sums", end) - F.get("sums", past)).cast("long").alias("n_tokens"))
 
     cut = convs.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
-    cut = cut.withColumn("at", running(F.transform("new", lambda x: F.length(part(NEW)(x)).cast("long"))))
+    ends = running(F.transform("new", lambda x: F.length(part(NEW)(x)).cast("long")))
 
-    def span(x: Column, i: Column) -> Column:
-        begin = F.length("head") + F.get("at", i) + F.length(_marked(NEW, x["role"]))
-        return F.when(x["target"], F.struct(begin.cast("long").alias("start"), (begin + F.length(x["text"])).cast("long").alias("end")))
+    def spans(at: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            begin = F.length("head") + F.get(at, i) + F.length(_marked(NEW, x["role"]))
+            return F.when(x["target"], F.struct(begin.cast("long").alias("start"), (begin + F.length(x["text"])).cast("long").alias("end")))
+
+        return F.filter(F.transform("new", span), lambda x: x.isNotNull())
 
     formatted = F.concat("head", F.array_join(F.transform("new", part(NEW)), ""))
-    return cut.select("conv_id", "window", formatted.alias("formatted"), F.filter(F.transform("new", span), lambda x: x.isNotNull()).alias("loss_spans"), "n_tokens")
+    return cut.select("conv_id", "window", formatted.alias("formatted"), once(ends, spans).alias("loss_spans"), "n_tokens")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

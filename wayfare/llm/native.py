@@ -36,11 +36,16 @@ def running(items: Column, op: Callable[[Column, Column], Column] = operator.add
     def upto(some: Column, start: Column) -> Column:
         return F.aggregate(some, F.array(start.cast("long")), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    totals = upto(F.transform(cut, lambda x: F.aggregate(x, zero, op)), zero)
+    totals = upto(F.transform(cut, lambda x: F.aggregate(x, zero, lambda a, y: op(a, y))), zero)
     inner = F.transform(F.arrays_zip(cut.alias("c"), totals.alias("t")), lambda z: F.when(z["c"].isNotNull(), F.slice(upto(z["c"], z["t"]), F.lit(1), F.size(z["c"]))))
     return F.concat(F.flatten(F.filter(inner, lambda x: x.isNotNull())), F.array(F.element_at(totals, -1)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once even if it stands in the body of a lambda."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def piece(chunks: Column, start: Column, end: Column) -> Column:
     """Code points from start to end of the text that in_chunks() cut up. Reads only the chunks that it touches."""
     lo, hi = start.cast("int"), end.cast("int")

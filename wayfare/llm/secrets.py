@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.native import below, places
+from wayfare.llm.common import fresh, without
+from wayfare.llm.native import below, in_chunks, once, piece, places, running
 
 #: The base forms, and the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,9 +31,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Chance that two letters of written words are equal; that of k symbols drawn evenly is 1 / k.
-TEXT_REPEAT = 0.065
 BINS = 2000  # of -20 ln p
+HALF = 14  # bins of p above about a half, which strings that weren't drawn evenly hardly reach
 CLASSES = (32, 64)  # lengths from which a class of its own starts
 
 
@@ -45,12 +45,12 @@ def _alphabet(s: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """(start, kind, end, bin, class, random) of each long run that has both letters and digits.
+    """(start, kind, end, bin, class) of each long run that has both letters and digits.
 
     The run's encoding is the first alphabet that holds it. Three tests ask if it was drawn evenly from that alphabet:
     chi-squared of the symbol counts (by the Wilson-Hilferty cube root), runs above and below the alphabet's middle,
-    and serial correlation of neighbours; `random` holds if the least of their p, times three, is at least 0.001. The p
-    of which the bin is the rounded -20 ln tells how seldom written words of that length repeat their symbols so little.
+    and serial correlation of neighbours. Fisher's sum of their logarithms makes one p of the three, of which the bin is
+    the rounded -20 ln.
     """
     found = F.filter(places(text, CANDIDATE, 3), lambda x: x["part"].rlike("[0-9]") & x["part"].rlike("[A-Za-z]"))
 
@@ -67,74 +67,85 @@ def candidates(text: Column) -> Column:
             F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(F.length(x["part"]) - F.length(F.replace(x["part"], c, F.lit(""))), F.lit(2.0))).alias("squares"),
         )
 
-    def with_tests(x: Column) -> Column:
+    def with_statistics(x: Column) -> Column:
+        """Each test's statistic as a standard normal variable."""
         n, k, v = F.size(x["v"]).cast("double"), x["k"], x["v"]
-        chi = x["squares"] * k / n - n
-        free = k - 1
-        even = 1 - below((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-        even = 2 * F.least(even, 1 - even)
+        chi, free = x["squares"] * k / n - n, k - 1
+        even = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
         ahead, behind = F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1)
         high = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.when(y >= k / 2, 1.0).otherwise(0.0))
         turns = F.aggregate(F.zip_with(ahead, behind, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)), F.lit(1.0), lambda a, y: a + y)
-        pairs = 2 * high * (n - high)
-        spread = F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        runs = 2 * below(-F.abs(turns - (pairs / n + 1)) / spread)
         mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-        power = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
-        lag = F.aggregate(F.zip_with(ahead, behind, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, y: a + y)
-        serial = 2 * below(-F.abs((lag / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-        worst = 3 * F.least(even, runs, serial)
-        usual = F.greatest(F.lit(TEXT_REPEAT), 2 / k)
-        repeat = (x["squares"] - n) / (n * (n - 1))
-        p = below(-(usual - repeat) / F.sqrt(2 * usual / (n * (n - 1))))
+
+        def runs(pairs: Column) -> Column:
+            return (turns - (pairs / n + 1)) / F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
+
+        def serial(mean: Column) -> Column:
+            power = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
+            lag = F.aggregate(F.zip_with(ahead, behind, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, y: a + y)
+            return (lag / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+
         size = sum(F.when(n >= c, 1).otherwise(0) for c in CLASSES)
-        return F.struct(
-            x["start"].alias("start"),
-            x["kind"].alias("kind"),
-            x["end"].alias("end"),
-            F.least(F.lit(BINS), F.floor(-20 * F.log(F.greatest(p, F.lit(1e-300))))).cast("int").alias("bin"),
-            size.alias("class"),
-            (worst >= 0.001).alias("random"),
-        )
+        z = F.array(even, once(high, lambda h: once(2 * h * (n - h), runs)), once(mean, serial))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), z.alias("z"), size.alias("class"))
 
-    return F.transform(F.transform(found, with_values), with_tests)
+    def with_bin(x: Column) -> Column:
+        """Each is two-sided. Their p together are that of a chi-squared variable with six degrees of freedom."""
+        log = lambda z: F.log(F.least(F.lit(1.0), F.greatest(2 * below(-F.abs(z)), F.lit(1e-100))))
+        bin_ = lambda y: F.least(F.lit(BINS), F.floor(20 * (y - F.log(1 + y + y * y / 2)))).cast("int")
+        sums = F.aggregate(F.transform(x["z"], log), F.lit(0.0), lambda a, y: a - y)
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.greatest(F.lit(0), once(sums, bin_)).alias("bin"), x["class"].alias("class"))
 
+    return F.transform(F.transform(F.transform(found, with_values), with_statistics), with_bin)
 
-def thresholds(tested: DataFrame, rate: float) -> list[int]:
-    """For each class of lengths the least bin that is a discovery at the false-discovery rate (Benjamini-Hochberg
-    over the bins' larger p, so never above the rate), from counts of at most 3 x 2001 bins."""
-    bins = tested.select(F.explode("found").alias("x")).groupBy("x.class", "x.bin").count().collect()
+
+def largest_bins(counts: dict[tuple[int, int], int], rate: float) -> list[int]:
+    """For each class of lengths the largest bin that is taken for random, from the number of candidates by (class, bin).
+
+    p of evenly drawn strings is even on (0, 1), and others hardly exceed a half: so twice the candidates above a half
+    (Storey's estimate) are the drawn ones of the class, and of these a share 1 - t has p >= t. The rest of those with
+    p >= t are false discoveries: t goes as low as their estimated share stays within the rate. Short strings, on which
+    the tests have little power, so need a larger p than long ones. -1: there is no discovery.
+    """
     out = []
     for c in range(len(CLASSES) + 1):
-        counts = {b: n for k, b, n in bins if k == c}
-        total, rank, least = sum(counts.values()), 0, BINS + 1
-        for b in sorted(counts, reverse=True):
-            rank += counts[b]
-            if math.exp(-b / 20) <= rate * rank / total:
-                least = b
-        out.append(least)
+        own = {b: n for (k, b), n in counts.items() if k == c}
+        drawn = sum(n for b, n in own.items() if b < HALF) / (1 - math.exp(-HALF / 20))
+        taken, most = 0, -1
+        for b in sorted(own):
+            taken += own[b]
+            if 1 - drawn * (1 - math.exp(-(b + 1) / 20)) / taken <= rate:
+                most = b
+        out.append(most)
     return out
 
 
+def thresholds(tested: DataFrame, rate: float) -> list[int]:
+    """largest_bins() of a column found, from counts of at most 3 x 2001 bins."""
+    bins = tested.select(F.explode("found").alias("x")).groupBy("x.class", "x.bin").count().collect()
+    return largest_bins({(c, b): n for c, b, n in bins}, rate)
+
+
 def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """docs with a column spans: array of (start, kind, end), by start and then kind as in KINDS; code points, end
     exclusive.
 
     Kinds 0 to 2 are the base forms, found in the whole text. Kind 3, `random`, are runs of 20 and more that the battery
-    takes for random strings and that overlap no base span: those that pass its tests, and whose p is a discovery among
-    all candidates of the corpus in their class of lengths. So the text is read twice, once for the counts of p.
-    A null or empty text has no spans. Repeated rows are judged each. All columns of docs are kept; one that is named
-    spans is replaced.
+    takes for random strings and that overlap no base span: those whose p is large enough that, among all candidates of
+    the corpus in their class of lengths, the estimated share of false discoveries is at most `rate`. So the text is read
+    twice, once for the counts of p. A null or empty text has no spans. Repeated rows are judged each. All columns of docs
+    are kept; one that is named spans, in any case of letters, is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    least = thresholds(docs.select(candidates(text).alias("found")), rate)
+    most = thresholds(docs.select(candidates(text).alias("found")), rate)
     base = F.concat(F.filter(places(text, ASSIGN, 0, 2), lambda x: F.length(x["part"]) >= 6), places(text, ACCESS, 1), places(text, HEX, 2))
-    kept = [c for c in docs.columns if c != "spans"]
+    kept = without(docs, "spans")
+    known, tried = fresh(docs, "base", "tried")
     narrow = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
-    out = docs.select(*kept, F.array_sort(F.transform(base, narrow)).alias("_base"), candidates(text).alias("_tried"))
-    needed = lambda x: F.when(x["class"] == 0, least[0]).when(x["class"] == 1, least[1]).otherwise(least[2])
-    held = F.filter("_tried", lambda x: x["random"] & (x["bin"] >= needed(x)) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.select(*kept, F.array_sort(F.concat("_base", F.transform(held, narrow))).alias("spans"))
+    out = docs.select(*kept, F.array_sort(F.transform(base, narrow)).alias(known), candidates(text).alias(tried))
+    taken = lambda x: F.when(x["class"] == 0, most[0]).when(x["class"] == 1, most[1]).otherwise(most[2])
+    held = F.filter(tried, lambda x: (x["bin"] <= taken(x)) & ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return out.select(*kept, F.array_sort(F.concat(known, F.transform(held, narrow))).alias("spans"))
 
 
 def named(spans: Column) -> Column:
@@ -144,13 +155,14 @@ def named(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each maximal run of spans replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each maximal run of spans replaced by the mark. Reads each chunk of the text once or a few times."""
+    reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)  # where all spans before one have ended
+
+    def done(held: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            at = F.get(held["reach"], i)
+            return F.when((x["start"] > at) | (i == 0), F.concat(piece(held["chunks"], at, x["start"]), F.lit(mark))).otherwise(F.lit(""))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - acc["at"]).cast("int"))
-        fresh = (x["start"] >= acc["at"]) & ((x["start"] > acc["at"]) | (acc["at"] == 0))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out"))
+        return F.concat(F.array_join(F.transform(spans, part), ""), piece(held["chunks"], F.element_at(held["reach"], -1), F.length(text)))
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, once(F.struct(in_chunks(text).alias("chunks"), reach.alias("reach")), done)).otherwise(text)
