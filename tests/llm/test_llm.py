@@ -254,6 +254,16 @@ def test_suffix_dedup_compares_bytes(monkeypatch):
 # 5
 
 
+def licenses_by_hand(text, templates, percent=80):
+    w, out = licenses.sequence(text), {}
+    for label, template in templates:
+        need, n = licenses.tokens(template), -(-100 * len(licenses.sequence(template)) // percent)
+        most = max((len(need & set(w[k : k + n])) for k in range(len(w))), default=0)
+        if need and 100 * most >= percent * len(need):
+            out[label] = max(out.get(label, 0), most / len(need))
+    return out
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "x\nAll rights, reserved. All rights reserved", "CC-BY and cc BY", "General Public\nLicense", "overall rights reserved", "accc by", None, "", "Permission is granted, free of charge, to any person obtaining a copy of this software and documentation files hereby associated", "le mit est", "cc by " * 700]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
@@ -264,13 +274,8 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base) == (len(w), len(hits))
         assert (r.first_word, r.last_word) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
         assert r.base_labels == sorted({h[1] for h in hits})
-        near = {}
-        for label, template in licenses.TEMPLATES:
-            need = licenses.tokens(template)
-            share = max((len(need & licenses.tokens(x)) / len(need) for x in (t or "").split("\n")), default=0)
-            if 100 * share >= 80:
-                near[label] = max(near.get(label, 0), share)
-        assert {m.label: max(x.share for x in r.matches if x.label == m.label) for m in r.matches} == pytest.approx(near)
+        assert {m.label: m.share for m in r.matches} == pytest.approx(licenses_by_hand(t or "", licenses.TEMPLATES))
+        assert [m.label for m in r.matches] == sorted({m.label for m in r.matches})
     assert licenses.scan(docs(spark, []), []).count() == 0
 
 
@@ -284,16 +289,21 @@ def test_licenses_across_lines(spark):
         assert got[i].get(label) == 1.0, template
     assert got[len(texts)] == {}
     rng = np.random.default_rng(3)
-    for label, template in licenses.TEMPLATES[:1]:  # against brute force, with words left out and put in
-        words, need = licenses.sequence(template), licenses.tokens(template)
-        odd = [wrap(" ".join(x for w in words for x in ([w] if rng.random() > 0.12 else []) + ["zz"] * int(rng.random() < 0.15)), 4) for _ in range(30)]
-        found = {r.doc_id: {m.share for m in r.matches if m.label == label} for r in licenses.scan(docs(spark, odd), [(label, template)]).collect()}
-        for i, t in enumerate(odd):
-            w, n = licenses.sequence(t), -(-100 * len(words) // 80)
-            blocks = [w[k : k + n] for k in range(len(w))] + [licenses.sequence(x) for x in t.split("\n")]
-            most = max(len(need & set(b)) for b in blocks) / len(need)
-            assert found[i] == ({most} if 100 * most >= 80 else set())
-        assert 0 < sum(map(bool, found.values())) < 30
+    words = licenses.sequence(licenses.TEMPLATES[0][1])  # with words left out and put in
+    odd = [wrap(" ".join(x for w in words for x in ([w] if rng.random() > 0.12 else []) + ["zz"] * int(rng.random() < 0.15)), 4) for _ in range(30)]
+    found = {r.doc_id: {m.label: m.share for m in r.matches} for r in licenses.scan(docs(spark, odd)).collect()}
+    assert all(found[i] == pytest.approx(licenses_by_hand(t, licenses.TEMPLATES)) for i, t in enumerate(odd))
+    assert 0 < sum(map(bool, found.values())) < 30
+
+
+def test_many_templates(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda n: " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 60))
+    templates = [(f"t{i % 90}", draw(int(rng.integers(1, 14)))) for i in range(300)] + [("none", "..."), ("t1", "")]
+    texts = [draw(int(rng.integers(0, 60))) for _ in range(40)]
+    for percent in (70, 100):
+        got = {r.doc_id: {m.label: m.share for m in r.matches} for r in licenses.scan(docs(spark, texts), templates, percent, {}).collect()}
+        assert all(got[i] == pytest.approx(licenses_by_hand(t, templates, percent)) for i, t in enumerate(texts))
 
 
 # 6

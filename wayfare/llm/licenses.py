@@ -1,18 +1,20 @@
-"""License scans: base phrases, and an exact set-similarity join of text blocks (lines and windows of words) with license templates.
+"""License scans: base phrases, and an exact set-similarity join of text blocks (windows of words) with license templates.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from functools import partial
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.native import LOWER, UPPER, WORD, lowered, n_words
+from wayfare.llm.native import LOWER, UPPER, WORD, lowered, once
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,96 +43,110 @@ def tokens(text: str) -> set[str]:
 
 
 def frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """How often the words of the templates occur in all texts: a sum by word, of at most as many rows as there are
+    """How often the words of the vocabulary occur in all texts: a sum by word, of at most as many rows as there are
     words, which the driver holds already."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(x,) for x in sorted(vocabulary)], "word string")
-    found = docs.select(F.explode(F.split(lowered("text"), f"[^{WORD}]+")).alias("word"))
-    return dict(found.join(F.broadcast(wanted) if len(vocabulary) <= 10_000 else wanted, "word").groupBy("word").count().collect())
-
-
-def _phrase() -> str:
-    """One pattern for all phrases: no two of them share a word, so that none can overlap another."""
-    return f"(?<![{WORD}])(?:" + "|".join(f"[^{WORD}]++".join(x.split()) for x in PHRASES) + f")(?![{WORD}])"
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
+    held = F.filter(F.split(lowered("text"), f"[^{WORD}]+"), lambda x: x.isin(sorted(vocabulary)))
+    return dict(docs.select(F.explode(held).alias("word")).groupBy("word").count().collect())
+
+
+INDEX = "struct<templates: array<struct<label: string, words: array<string>, need: int, length: int>>, prefixes: map<string, array<struct<template: int, place: int>>>>"
+
+
+def index(templates: list[tuple[str, str]], percent: int, counts: dict[str, int]) -> dict:
+    """The side of the join that is known: the templates, their words in the global order (rarest first), and for each
+    word the templates in whose prefix it is, and at which place. A template of n words of which k are needed has its
+    n - k + 1 rarest as prefix."""
+    rules, prefixes = [], {}
+    for label, text in templates:
+        order = sorted(tokens(text), key=lambda w: (counts.get(w, 0), w))
+        if not order:
+            continue
+        need = math.ceil(percent * len(order) / 100)
+        for i, word in enumerate(order[: len(order) - need + 1]):
+            prefixes.setdefault(word, []).append({"template": len(rules), "place": i})
+        rules.append({"label": label, "words": order, "need": need, "length": math.ceil(100 * len(sequence(text)) / percent)})
+    return {"templates": rules, "prefixes": prefixes}
+
+
+def _share(words: Column, at: Column, place: Column, rule: Column) -> Column:
+    """The largest share of a template that a window with a word of its prefix, at the place in the global order, holds:
+    null if none meets it."""
+    length, need = rule["length"], rule["need"]
+    start = F.greatest(at - length + 1, F.lit(1))
+    around = F.slice(words, start, at - start + length)
+    # length filter; positional filter: if this is the first word that a window shares, all others come after it
+    late = F.slice(rule["words"], place + 1, F.size(rule["words"]))
+    passes = (F.size(around) >= need) & (F.size(F.array_intersect(late, around)) >= need)
+    held = lambda i: F.size(F.array_intersect(rule["words"], F.slice(words, i, length)))
+    most = F.array_max(F.transform(F.sequence(start, at), held))
+    return F.when(passes, once(most, lambda n: F.when(n >= need, n / F.size(rule["words"]))))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, matches) for each row of docs.
 
-    Base: the places of the phrases. The join: a block is a line of the text, or a window of consecutive words that runs
-    across line breaks, 100 / percent times as long as the template; it meets a template if it holds at least percent
-    hundredths of the template's distinct words. Words are ordered by their frequency in all texts, rarest
-    first. If the template has n words and needs k of them, a block that meets it holds one of its n - k + 1 rarest (the
-    prefix filter): only lines with such a word of any template are looked at. Of those, lines with fewer than k
-    template words fail (the length filter), and so do those where the first shared prefix word has too few words after
-    it in the template or the block (the positional filter). The rest are counted in full. All windows that hold a
-    prefix word lie around its places: only where the words around one hold k of the template are its windows counted.
-    No line or window is left out otherwise, and nothing is shuffled but the sums of the word counts.
-
-    matches are the (label, share) of templates that some block meets, with the largest share of its blocks. A null or
-    empty text has no words, places or matches; first_word and last_word are then null. Repeated rows are judged each.
-    A template without words is ignored.
+    Base: the places where a phrase's words stand consecutively; looked for around its rarest word.
+    The join: a block is a window of consecutive words, whatever the line breaks, 100 / percent times as long as the
+    template; it meets a template if it holds at least percent hundredths of the template's distinct words. Words are
+    ordered by their frequency in all texts, rarest first. A block that meets a template holds one of its prefix (see
+    index()): so each word of a text that is in a prefix makes a candidate of the template and the windows around it.
+    Candidates with too few words around fail (the length filter), and so do those where too few of the template's words
+    that come after the prefix word in the global order are around (the positional filter): of the words that a window
+    shares, one comes first, and as that one it passes. The windows of the rest are counted in full.
+    No window is left out otherwise, and nothing is shuffled but the sums of the word counts. The templates and their
+    prefixes are one literal of the plan, which so is as long for one template as for thousands.
+
+    matches are the (label, share) of templates that some block meets, by label, with the largest share of its blocks. A
+    null or empty text has no words, places or matches; first_word and last_word are then null. Repeated rows are judged
+    each, equal places counted once. A template without words is ignored. Other columns aren't read.
     """
-    sets = [(label, tokens(text)) for label, text in templates]
-    lengths = {(label, frozenset(tokens(text))): len(sequence(text)) for label, text in templates}
-    sets = [(label, words) for label, words in sets if words]
-    vocabulary = set().union(*(words for _, words in sets)) if sets else set()
+    said = [(sequence(x), label) for x, label in phrases.items()]
+    vocabulary = set().union(*(tokens(text) for _, text in templates), *(w for w, _ in said))
     counts = frequencies(docs, vocabulary) if vocabulary else {}
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    place = {w: i for i, w in enumerate(order)}
-    rules = []
-    for label, words in sets:
-        ranked = sorted(words, key=place.__getitem__)
-        need = math.ceil(percent * len(ranked) / 100)
-        rules.append((label, ranked, need, ranked[: len(ranked) - need + 1], math.ceil(100 * lengths[label, frozenset(words)] / percent)))
-    probes = sorted({w for r in rules for w in r[3]}, key=place.__getitem__)
-
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered("text").alias("low"))
-    pattern = _phrase()
-    has = F.col("low").rlike(pattern)
-    any_probe = f"(?<![{WORD}])(?:" + "|".join(map(re.escape, probes)) + f")(?![{WORD}])" if probes else "(?!)"
-    low = low.select(
-        "doc_id",
-        "low",
-        n_words(F.col("low")).alias("n_words"),
-        F.when(has, F.split("low", pattern, -1)).alias("pieces"),
-        F.when(has, F.regexp_extract_all("low", F.lit(pattern), F.lit(0))).alias("found"),
-        F.when(F.col("low").rlike(any_probe), F.filter(F.split("low", "\n"), lambda x: x.rlike(any_probe))).otherwise(F.array().cast("array<string>")).alias("lines"),
-        F.when(F.col("low").rlike(any_probe), F.split("low", f"[^{WORD}]+")).otherwise(F.array().cast("array<string>")).alias("words"),
-    )
-    # places of the words of any prefix, from 1
-    places = F.filter(F.transform("words", lambda x, i: F.when(x.isin(probes), F.struct((i + 1).alias("at"), x.alias("word")))), lambda x: x.isNotNull())
-    every = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
-    blocks = F.transform("lines", lambda x: F.array_intersect(every, F.split(x, f"[^{WORD}]+")))  # in the global order
-
-    def share(ranked: list[str], need: int, prefix: list[str], block: Column) -> Column:
-        own, head = F.array(*map(F.lit, ranked)), F.array(*map(F.lit, prefix))
-        first = F.get(F.array_intersect(head, block), F.lit(0))
-        after = F.least(len(ranked) - F.array_position(own, first), F.size(block) - F.array_position(block, first))
-        held = F.size(F.array_intersect(own, block))
-        return F.when(first.isNotNull() & (F.size(block) >= need) & (1 + after >= need) & (held >= need), held / len(ranked))
-
-    def window_share(ranked: list[str], need: int, prefix: list[str], length: int) -> Column:
-        own = F.array(*map(F.lit, ranked))
-        held = lambda start, n: F.size(F.array_intersect(own, F.slice("words", start, n)))
-        start = lambda x: F.greatest(x["at"] - (length - 1), F.lit(1))
-        near = F.filter("places", lambda x: x["word"].isin(prefix) & (held(start(x), F.lit(2 * length - 1)) >= need))
-        most = F.array_max(F.flatten(F.transform(near, lambda x: F.transform(F.sequence(start(x), x["at"]), lambda i: held(i, F.lit(length))))))
-        return F.when(most >= need, most / len(ranked))
-
-    def best_share(ranked: list[str], need: int, prefix: list[str], length: int) -> Column:
-        return F.greatest(F.array_max(F.transform("blocks", partial(share, ranked, need, prefix))), window_share(ranked, need, prefix, length))
-
-    best = [F.struct(F.lit(label).alias("label"), best_share(*rule).alias("share")) for label, *rule in rules]
-    none = F.array().cast("array<struct<label: string, share: double>>")
-    names = lambda x: F.when(x.startswith("cc"), F.lit(PHRASES["cc by"])).when(x.startswith("general"), F.lit(PHRASES["general public license"])).otherwise(F.lit(PHRASES["all rights reserved"]))
-    last = F.element_at("found", -1)
-    return low.withColumn("blocks", blocks).withColumn("places", places).select(
+    side = index(templates, percent, counts)
+    anchors = [(w, min(range(len(w)), key=lambda i: (counts.get(w[i], 0), i)), label) for w, label in said]
+    probes = sorted({*side["prefixes"], *(w[i] for w, i, _ in anchors)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(lowered("text"), f"[^{WORD}]+").alias("words"))
+    lead = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0)  # an empty piece before the first word, and after the last
+    rows = rows.withColumn("lead", lead).withColumn("n_words", (F.size("words") - lead - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)).cast("long"))
+    mark = lambda x, i: F.when(x.isin(probes), F.struct(i.alias("at"), x.alias("word")))
+    none = F.array().cast("array<struct<at: int, word: string>>")
+    seen = F.when(F.exists("words", lambda x: x.isin(probes)), F.filter(F.transform("words", mark), lambda x: x.isNotNull())).otherwise(none)
+    rows = rows.withColumn("seen", seen)
+
+    def phrase(x: Column) -> Column:
+        found = [F.when((x["word"] == w[i]) & _all(F.get("words", x["at"] - i + k) == y for k, y in enumerate(w)), F.struct((x["at"] - i - F.col("lead")).cast("long").alias("start"), F.lit(label).alias("label"))) for w, i, label in anchors]
+        return F.filter(F.array(*found), lambda y: y.isNotNull())
+
+    kind = "array<struct<start: bigint, label: string>>"
+    base = F.flatten(F.transform("seen", phrase)).cast(kind) if anchors else F.array().cast(kind)
+
+    def matches(known: Column) -> Column:
+        hits = F.filter("seen", lambda x: x["word"].isin(sorted(side["prefixes"])))
+        tried = lambda x, y: once(F.get(known["templates"], y["template"]), lambda rule: F.struct(rule["label"].alias("label"), _share(F.col("words"), x["at"] + 1, y["place"], rule).alias("share")))
+        met = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(known["prefixes"], x["word"]), lambda y: tried(x, y))))
+        return once(F.filter(met, lambda x: x["share"].isNotNull()), best)
+
+    def best(met: Column) -> Column:
+        labels = F.array_sort(F.array_distinct(F.transform(met, lambda x: x["label"])))
+        return F.transform(labels, lambda y: F.struct(y.alias("label"), F.array_max(F.transform(F.filter(met, lambda x: x["label"] == y), lambda x: x["share"])).alias("share")))
+
+    empty = F.array().cast("array<struct<label: string, share: double>>")
+    known = F.from_json(F.lit(json.dumps(side)), INDEX)
+    found = F.when(F.size("seen") > 0, matches(known)).otherwise(empty) if side["templates"] else empty
+    rows = rows.select("doc_id", "n_words", base.alias("base"), found.alias("matches"))
+    starts = F.transform("base", lambda x: x["start"])
+    return rows.select(
         "doc_id",
         "n_words",
-        F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).cast("long").alias("n_base"),
-        F.when(F.col("found").isNotNull(), n_words(F.get("pieces", F.lit(0)))).alias("first_word"),
-        F.when(F.col("found").isNotNull(), F.col("n_words") - n_words(F.element_at("pieces", -1)) - F.when(last.startswith("cc"), 2).otherwise(3)).alias("last_word"),
-        F.when(F.col("found").isNotNull(), F.array_sort(F.array_distinct(F.transform("found", names)))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
-        (F.when(F.size("places") > 0, F.filter(F.array(*best), lambda x: x["share"].isNotNull())).otherwise(none) if best else none).alias("matches"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"]))).alias("base_labels"),
+        "matches",
     )
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)

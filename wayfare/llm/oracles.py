@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wayfare.llm.licenses import PHRASES, TEMPLATES, sequence, tokens
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -51,5 +53,21 @@ n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROU
 SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op5_license_scan": f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+p AS (SELECT * FROM (VALUES {", ".join(f"({x.split()}, '{label}')" for x, label in PHRASES.items())}) AS t(p, label)),
+b AS (SELECT doc_id, i - 1 AS i, label FROM d, p, unnest(range(1, len(w) - len(p) + 2)) AS t(i) WHERE w[i : i + len(p) - 1] = p),
+n AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list(DISTINCT label)) AS l FROM b GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {", ".join(f"('{label}', {sorted(tokens(x))}, {-(-100 * len(sequence(x)) // 80)})" for label, x in TEMPLATES)}) AS t(label, words, k)),
+m AS (SELECT doc_id, label, max(len(list_intersect(words, w[i : i + k - 1])) / len(words)) AS share
+      FROM d JOIN t ON 100 * len(list_intersect(words, w)) >= 80 * len(words), unnest(range(1, len(w) + 1)) AS u(i)
+      GROUP BY doc_id, label, words HAVING 100 * max(len(list_intersect(words, w[i : i + k - 1]))) >= 80 * any_value(len(words))),
+s AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS l FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_base, n.a::BIGINT AS first_word, n.b::BIGINT AS last_word,
+       coalesce(array_to_string(n.l, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(n.l, []), coalesce(s.l, [])))), ',') AS labels,
+       CASE WHEN n.n > 0 THEN 1.0 ELSE coalesce(s.share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
 """,
 }
