@@ -336,6 +336,31 @@ def test_mixing(spark):
     assert mixing.mix(df, entropy=0.0, blocks=8).groupBy("source").agg(F.sum("n_tokens").alias("n")).where("source = 'big'").first().n >= most - 8
 
 
+def exponent_by_hand(held, budget, entropy, repeats):
+    """By trying 200,001 exponents."""
+    at = np.linspace(0, 1, 200_001)[:, None]
+    tokens = np.array(held, float)[None, :]
+    w = tokens**at / (tokens**at).sum(1, keepdims=True)
+    share = -(w * np.log(w)).sum(1) / np.log(tokens.shape[1])
+    even = at[share >= entropy - 1e-9].max()
+    rare = (w * budget / tokens).max(1) <= repeats
+    return max(even, at[rare].min() if rare.any() else 1.0)
+
+
+@pytest.mark.parametrize("held, budget, entropy, repeats", [([1000, 10, 10], None, 0.9, 4), ([1000, 10, 10], None, 0.0, 4), ([900, 300, 5, 40], None, 0.8, 100), ([900, 300, 5, 40], 200, 0.99, 2), ([7, 7], None, 0.5, 1), ([50, 3], 1000, 0.95, 4)])
+def test_exponent(spark, held, budget, entropy, repeats):
+    budget = budget or sum(held)
+    sources = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(held)], "source string, tokens long")
+    assert mixing.exponent(sources, budget, entropy, repeats) == pytest.approx(exponent_by_hand(held, budget, entropy, repeats), abs=1e-4)
+
+
+def test_mixing_rows_without_ids(spark):
+    rows = [(None, f"w{i} " * 3, "", "a", 0) for i in range(600)] + [(1, "x y", "", "b", 0)] * 5
+    got = mixing.mix(docs(spark, rows), entropy=0.0, repeats=1.0).collect()
+    assert sorted((r.doc_id or 0, r.source) for r in got) == [(0, "a")] * 600 + [(1, "b")] * 5
+    assert len({r.block_rank for r in got if r.source == "a"}) > 100
+
+
 # 7
 
 

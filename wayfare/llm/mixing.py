@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import cut
 
+BLOCK_ROWS = 1 << 16
 GRID = 32  # exponents that one pass over the sources tries; three passes cut the interval to 1 / 32 ** 3
 
 
@@ -54,23 +55,27 @@ def exponent(sources: DataFrame, budget: float, entropy: float, repeats: float)
     return max(by_entropy, by_repeats)
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.95, repeats: float = 4.0, blocks: int = 256, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.95, repeats: float = 4.0, blocks: int | None = None, seed: int = 0) -> DataFrame:
     """The documents to read, with repeats, so that sources have their target weights:
     (doc_id, source, n_tokens, weight, epoch, block_rank, slot).
 
     Weights are shares of tokens to the power exponent(), normalised. A source's quota is its weight times the budget
-    (default: all tokens). Each source is dealt into `blocks` blocks by a hash. An epoch reads all blocks of a source in
+    (default: all tokens). Each source is dealt into `blocks` blocks by a hash of doc_id, or of the text where that is null
+    (default: one for each BLOCK_ROWS rows of the table, 256 at least, so that a block has a bounded number of rows). An epoch reads all blocks of a source in
     an order of its own (block_rank), and the documents of a block in an order of its own (slot). A source has as many
     whole epochs as fit into its quota; in the next epoch it has the blocks that fit, and of the block that does not,
     the documents that fit from its start. So each quota is met up to one document, and the order to read in is (epoch,
     block_rank, slot) within a source. If all sources together exceed `repeats`, the budget itself asks for it.
 
     Only per-block sums are ever ordered: at most `blocks` rows for each source and epoch, besides the documents of one
-    block. A null source is the source ''. Documents without tokens are in every whole epoch. Repeated rows are read
+    block. A null source is the source ''; rows with a null doc_id are returned with null. Documents without tokens are in every whole epoch. Repeated rows are read
     each; rows without any token in their source have weight 0 and are left out. Empty tables give an empty result.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n_tokens("text").alias("n_tokens"))
-    narrow = cut(narrow.withColumn("block", F.expr(f"CAST(pmod(xxhash64(doc_id, {seed}), {blocks}) AS INT)")))
+    key = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64(F.lit("text"), "text"))  # null ids by their text
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    narrow = cut(narrow.select("doc_id", "source", n_tokens("text").alias("n_tokens"), key.alias("key")))
+    blocks = blocks or max(256, -(-narrow.count() // BLOCK_ROWS))
+    narrow = narrow.withColumn("block", F.expr(f"CAST(pmod(xxhash64(key, {seed}), {blocks}) AS INT)"))
     held = cut(narrow.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
     sources = held.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -88,7 +93,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.95, repea
     turns = turns.withColumn("before", F.expr("sum(tokens) OVER (PARTITION BY source, epoch ORDER BY turn, block) - tokens"))
     turns = turns.withColumn("room", F.expr("CASE WHEN epoch < whole THEN NULL ELSE rest - before END")).where("room IS NULL OR room > 0")
     read = narrow.join(turns.select("source", "block", "weight", "epoch", "block_rank", "room", F.col("tokens").alias("held")), ["source", "block"])
-    read = read.withColumn("slot", F.xxhash64("doc_id", "epoch", F.lit(seed)))
+    read = read.withColumn("slot", F.xxhash64("key", "epoch", F.lit(seed)))
     columns = ["doc_id", "source", "n_tokens", "weight", F.col("epoch").cast("int").alias("epoch"), "block_rank", "slot"]
     cuts = read.where("room < held")
     cuts = cuts.withColumn("upto", F.expr("sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY slot, doc_id)")).where("upto <= room")
