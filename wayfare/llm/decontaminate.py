@@ -58,14 +58,16 @@ def windows(text: bytes | None, size: int) -> Iterator[tuple[bytes, ...]]:
 
 def _blocks(rows: Iterable, size: int, most: int) -> Iterator[list[Patterns]]:
     by: dict[int, Patterns] = {}
+    one: dict[bytes, bytes] = {}  # windows share their words
     n = 0
     for item, text in rows:
         for window in windows(text and text.encode(), size):
+            window = tuple(one.setdefault(w, w) for w in window)
             by.setdefault(len(window), Patterns(len(window))).add(window, item)
             n += 1
             if n == most:
                 yield list(by.values())
-                by, n = {}, 0
+                by, one, n = {}, {}, 0
     if by:
         yield list(by.values())
 
@@ -102,12 +104,12 @@ def _searcher(tables: Broadcast | None, kept: list[str], kind: pa.Schema, again:
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 100_000) -> DataFrame:
     """docs with the columns n_words, hits and items (replaced, if docs has them).
 
     hits are the merged word spans [start, end) inside an occurrence of a window; items the ids of the items with an
-    occurring window. The windows are read as a stream and broadcast in blocks of at most block_windows, whatever the
-    size of the benchmark; each block is one pass over the documents, and a pass adds to what the one before it found.
+    occurring window. The windows are read as a stream and broadcast in blocks of at most block_windows (some 80 MB
+    in each Python worker), whatever the size of the benchmark; each block is one pass over the documents, and a pass adds to what the one before it found.
 
     A null or empty text has no words and no hits. An item without words matches nothing; one with a null id marks
     words but isn't listed. Repeated rows of docs are judged each. All other columns of docs are kept; those of the
