@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import cut
+
 NEAR = 10  # neighbours of a vector in the graph
 HIDDEN = 128
 HELD_BACK = 8  # one of so many sampled rows only measures recall
@@ -184,7 +186,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096
             part = router.value.scores(x).argmax(1) if router.value and len(x) else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    placed = base.mapInArrow(home, "vec_id long, v array<double>, part int")
+    placed = cut(base.mapInArrow(home, "vec_id long, v array<double>, part int"))
     held = dict(placed.groupBy("part").count().collect())
     counts = np.array([held.get(p, 0) for p in range(parts)])
 
