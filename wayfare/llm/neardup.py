@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from wayfare.llm import common
 from wayfare.llm.graph import components
 
-BINS, ROWS = 256, 5  # bins of the one permutation; bins that make one band key
+BINS = 256  # of the one permutation
+MISSED = 1e-8  # pairs at the threshold that may share no band
 _SHIFT = np.uint64(64 - 8)
 LIMIT = 1 << 21  # shingles that a block holds on average
 _BOUNDS = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -58,11 +59,17 @@ def signature(found: np.ndarray) -> np.ndarray:
     return value
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    rows = signature(found)[: BINS // ROWS * ROWS].reshape(-1, ROWS)
+def band_length(percent: int) -> int:
+    """The most bins in a band with which at most MISSED of the pairs at the threshold share no band, as far as bins are
+    independent: 6 (42 bands) at 85 hundredths, 5 (51 bands) at 80."""
+    return max([1, *(r for r in range(1, 33) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED)])
+
+
+def bands(found: np.ndarray, length: int) -> np.ndarray:
+    rows = signature(found)[: BINS // length * length].reshape(-1, length)
     acc = np.arange(len(rows), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(ROWS):
+        for i in range(length):
             acc = common.mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
     return acc.view(np.int64)
 
@@ -70,7 +77,7 @@ def bands(found: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"
 
 
-def _signer(size: int):
+def _signer(size: int, length: int):
     kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +89,7 @@ def _signer(size: int):
                 n.append(len(found))
                 if len(found):
                     x = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                    keys.append(bands(found))
+                    keys.append(bands(found, length))
                     a.append(int(x[0]))
                     b.append(int(x[1]))
                 else:
@@ -176,15 +183,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
 
     1. Documents with one and the same set (exact copies among them) are one node, named by their smallest doc_id, so
        that groups of copies of any size cost a partial sum.
-    2. A bucket (equal band keys) of n nodes gives n - 1 candidate edges, to its smallest node, the hub: a star. 51 bands
-       of 5 bins miss a pair at 0.8 about twice in 10^9 times, and one at 0.85 once in 10^13, as far as bins are
-       independent.
-    3. The full sets of a hub and its star are compared in one block; every pair that shares a bucket is in one, as its
-       bucket has one hub. A star of more than `block` nodes, or of more than LIMIT shingles, is first dealt into blocks
-       that all hold the hub and a few other nodes; what is then still apart is compared in pairs of blocks, except where
-       two blocks belong to one known class. Nothing is capped: work beyond that is only for pairs of one star that are
-       in different classes so far. Stars are never joined for comparison, so that a long chain of candidates costs no
-       more than its stars.
+    2. A bucket (equal band keys) of n nodes gives n - 1 candidate edges, to its smallest node, the hub: a star. Bands are
+       as long as MISSED allows.
+    3. Each node is first compared with the others of its smallest hub, on full sets, which finds most classes. Then
+       every star that holds several classes is compared, unless all of it was: so every pair that shares a bucket is
+       compared, as its bucket has one hub, or is in one class. A star of more than `block` nodes, or of more than LIMIT
+       shingles, is dealt into blocks, at first such that all hold the hub and a few other nodes, then in pairs of
+       blocks, except where two blocks belong to one class. Nothing is capped: work beyond that is only for pairs of one
+       star that are in different classes so far. Stars are never joined for comparison, so that a long chain of
+       candidates costs no more than its stars.
 
     Words are split at ASCII white space, A-Z lowered. A null or empty text has no shingles, is linked to nothing and
     kept; a text of fewer words than size is one shingle. Repeated rows give repeated result rows; a doc_id
@@ -192,17 +199,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     read. A block holds the sets of its texts: the longest text bounds it, where that is longer than LIMIT.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.cut(rows.mapInArrow(_signer(size), SIGNED))
+    signed = common.cut(rows.mapInArrow(_signer(size, band_length(percent)), SIGNED))
     prints = ["print_a", "print_b"]
     filled = signed.where("print_a IS NOT NULL")
     named = filled.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
     members = common.cut(common.spread_join(filled.drop("keys"), named, prints, "doc_id").select("doc_id", "n_shingles", "rep"))
     nodes = common.spread_join(filled, named, prints, "doc_id").where("doc_id = rep")
-    keyed = nodes.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    keyed = nodes.select("rep", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    stars = common.spread_join(keyed, buckets.select("key", F.col("hub").alias("grp")), ["key"], "rep").select("rep", "n_shingles", "grp").distinct()
-    sizes = stars.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    placed = common.cut(common.spread_join(stars, sizes, ["grp"], "rep").select("rep", "grp", F.expr(f"CAST(greatest(n, ceil(total * {block} / {LIMIT})) AS BIGINT)").alias("n")))
+    stars = common.spread_join(keyed, buckets.select("key", F.col("hub").alias("grp")), ["key"], "rep").select("rep", "grp").distinct()
+    placed = common.cut(stars.join(nodes.select("rep", "n_shingles").hint("merge"), "rep"))  # a hub is in its own star
+
+    def sized(some: DataFrame) -> DataFrame:
+        """n: nodes of the group, or as many as its shingles count for."""
+        sizes = some.groupBy("grp").agg(F.count("*").alias("all"), F.sum("n_shingles").alias("total")).where("all > 1")
+        sizes = sizes.select("grp", "all", F.expr(f"CAST(greatest(all, ceil(total * {block} / {LIMIT})) AS BIGINT)").alias("n"))
+        return common.spread_join(some, sizes, ["grp"], "rep")
 
     def compared(assigned: DataFrame) -> DataFrame:
         """(a, b) for assigned (rep, block, label)."""
@@ -212,32 +224,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
 
     large = F.col("n") > block
     parts = f"CAST(ceil(n / {block / 2}) AS INT)"
-    first = placed.withColumn("part", _spread("rep", parts))
-    ranked = placed.where(large).withColumn("rank", F.expr("row_number() OVER (PARTITION BY grp ORDER BY rep <> grp, xxhash64(rep))"))  # the hub first
-    pivots = ranked.where("rank <= 8").drop("rank")
-    everywhere = pivots.withColumn("part", F.explode(F.expr(f"sequence(0, {parts} - 1)"))).select("rep", "grp", "n", "part")
-    first = first.where(~large).withColumn("part", F.lit(0).cast("long")).unionByName(first.where(large)).unionByName(everywhere.withColumn("part", F.col("part").cast("long")))
+    nearest = placed.groupBy("rep").agg(F.min("grp").alias("grp"), F.max("n_shingles").alias("n_shingles")).where("grp < rep")
+    first = sized(nearest.unionByName(placed.where("rep = grp"))).withColumn("part", _spread("rep", parts))
+    ranked = first.where(large).withColumn("rank", F.expr("row_number() OVER (PARTITION BY grp ORDER BY rep <> grp, xxhash64(rep))"))  # the hub first
+    everywhere = ranked.where("rank <= 8").drop("rank").withColumn("part", F.explode(F.expr(f"sequence(0L, {parts} - 1L)")))
+    first = first.withColumn("part", F.when(large, F.col("part")).otherwise(0).cast("long")).unionByName(everywhere)
     edges = compared(first.select("rep", F.xxhash64("grp", "part").alias("block"), F.col("rep").alias("label")).distinct())
-    if placed.where(large).limit(1).count():
-        known = components(edges, "a", "b")
-        now = placed.where(large).join(known.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", "grp", "n", F.coalesce("component", "rep").alias("label"))
-        counts = now.groupBy("grp", "label").agg(F.count("*").alias("m"))
-        loose = counts.groupBy("grp").agg(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("loose"), F.sum("m").alias("all"), F.count("*").alias("labels"))
-        now = common.spread_join(common.spread_join(now, counts, ["grp", "label"], "rep"), loose.where("labels > 1"), ["grp"], "rep")
-        big = F.col("m") >= block
-        half = block // 2
-        # n / all: how much longer than usual the texts of the star are
-        now = now.withColumn("pure", F.when(big, F.col("label"))).withColumn(
-            "part",
-            F.when(big, F.xxhash64("label", _spread("rep", f"CAST(ceil(m * n / all / {half}) AS INT)"))).otherwise(F.xxhash64(F.lit("loose"), _spread("label", f"CAST(ceil(loose * n / all / {half}) AS INT)"))),
-        )
-        now = common.cut(now.select("rep", "grp", "label", "pure", "part"))
-        shares = now.select("grp", "part", "pure").distinct()
-        other = shares.select("grp", F.col("part").alias("part_b"), F.col("pure").alias("pure_b"))
-        pairs = shares.join(other, "grp").where("part <= part_b AND (pure IS NULL OR pure_b IS NULL OR pure <> pure_b)")
-        pairs = pairs.withColumn("block", F.xxhash64("grp", "part", "part_b"))
-        sides = pairs.select("grp", "part", "block").unionByName(pairs.select("grp", F.col("part_b").alias("part"), "block")).distinct()
-        edges = edges.unionByName(compared(now.join(sides, ["grp", "part"]).select("rep", "block", "label")))
+
+    known = components(edges, "a", "b")
+    now = sized(placed).join(known.hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
+    now = common.spread_join(now, nearest.select("rep", F.col("grp").alias("least")), ["rep"], "grp", "left", 1)
+    counts = now.groupBy("grp", "label").agg(F.count("*").alias("m"), F.sum(F.when((F.col("rep") == F.col("grp")) | (F.col("least") == F.col("grp")), 1).otherwise(0)).alias("met"))
+    loose = counts.groupBy("grp").agg(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("loose"), F.sum("met").alias("met"), F.count("*").alias("labels"))
+    now = common.spread_join(common.spread_join(now, counts.drop("met"), ["grp", "label"], "rep"), loose.where("labels > 1"), ["grp"], "rep")
+    now = now.where(large | (F.col("met") < F.col("all")))
+    big = large & (F.col("m") >= block)
+    half = block // 2
+    # n / all: how much longer than usual the texts of the star are
+    now = now.withColumn("pure", F.when(big, F.col("label"))).withColumn(
+        "part",
+        F.when(~large, 0)
+        .when(big, F.xxhash64("label", _spread("rep", f"CAST(ceil(m * n / all / {half}) AS INT)")))
+        .otherwise(F.xxhash64(F.lit("loose"), _spread("label", f"CAST(ceil(loose * n / all / {half}) AS INT)"))),
+    )
+    now = common.cut(now.select("rep", "grp", "label", "pure", "part"))
+    shares = now.select("grp", "part", "pure").distinct()
+    other = shares.select("grp", F.col("part").alias("part_b"), F.col("pure").alias("pure_b"))
+    pairs = shares.join(other, "grp").where("part <= part_b AND (pure IS NULL OR pure_b IS NULL OR pure <> pure_b)")
+    pairs = pairs.withColumn("block", F.xxhash64("grp", "part", "part_b"))
+    sides = pairs.select("grp", "part", "block").unionByName(pairs.select("grp", F.col("part_b").alias("part"), "block")).distinct()
+    edges = edges.unionByName(compared(now.join(sides.hint("merge"), ["grp", "part"]).select("rep", "block", "label")))
     classes = components(edges, "a", "b")
     joined = members.join(classes, members.rep == classes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("print_a IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
