@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfare.functions.filters import FloatFilter, LocationFilter, StringFilter
@@ -30,6 +31,13 @@ class Request:
     def kind(self) -> int:
         return {FloatAgg: FLOAT, StringAgg: STRING, LocationAgg: PLACE}[type(self.agg)]
 
+    @classmethod
+    def of(cls, name: str, kind: int, agg: str | None = None, **more: object) -> Request:
+        """By the kind of values and the aggregate's name. An unknown aggregate is the kind's default: the average, the
+        most frequent string, or the first location."""
+        names, default = {FLOAT: (FloatAgg, FloatAgg.AVG), STRING: (StringAgg, StringAgg.TOP), PLACE: (LocationAgg, LocationAgg.FIRST)}[kind]
+        return cls(name, names(agg) if agg in [x.value for x in names] else default, **more)
+
 
 def _slots(requests: list[Request]) -> list[tuple[int, int, Request]]:
     """(kind, index within the kind, request)."""
@@ -103,21 +111,39 @@ def by_interval(signals: DataFrame, requests: list[Request], start: int, end: in
     return asked.groupBy("subject", bucket_us(F.col("timestamp"), width, start).alias("bucket_us"), "signal_type", "signal_index").agg(*_measures(requests))
 
 
+def hull(ranges: DataFrame) -> tuple[int, int] | None:
+    """The first start and the last end of ranges (start, end), in microseconds: what a scan can be pruned by."""
+    first, last = ranges.agg(F.min(F.unix_micros("start")), F.max(F.unix_micros("end"))).first()
+    return None if first is None else (first, last)
+
+
+def within(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    bounds = hull(ranges)
+    return rows.where(between("timestamp", *bounds)) if bounds else rows.where(F.lit(False))
+
+
 def by_range(signals: DataFrame, requests: list[Request], ranges: DataFrame) -> DataFrame:
     """(subject, seg_idx, signal_type, signal_index, values...) for ranges (subject, seg_idx, start, end), end exclusive.
-    A row counts for the first range of its subject that holds it. No value filters; locations without a fix count."""
-    rows = _requested(dedup.signals(signals, [r.name for r in requests]), requests)
-    held = in_first_range(rows, ranges)
+    A row counts for the first range of its subject that holds it. No value filters; locations without a fix count. Only
+    rows between the first start and the last end are read."""
+    rows = dedup.signals(within(signals, ranges), [r.name for r in requests])
+    held = _requested(in_first_range(rows, ranges, dedup.SIGNAL_KEY), requests)
     return held.groupBy("subject", "seg_idx", "signal_type", "signal_index").agg(*_measures(requests))
 
 
-def in_first_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """rows (no two of them equal) with the smallest seg_idx among the ranges of its subject that hold its timestamp. Rows and range starts of
-    a day meet by an equality on (subject, day), each range under all days it touches, so that no subject's rows meet
-    all of its ranges."""
-    own = ranges.select("subject", "seg_idx", "start", "end", F.explode(F.expr("sequence(to_date(start), to_date(end))")).alias("_day"))
-    met = rows.withColumn("_day", F.to_date("timestamp")).join(own, ["subject", "_day"]).where("timestamp >= start AND timestamp < end")
-    return met.groupBy(*rows.columns).agg(F.min("seg_idx").alias("seg_idx"))
+def in_first_range(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+    """rows (no two with the same key, of which subject is a part) with the smallest seg_idx among the ranges of its
+    subject that hold its timestamp. Rows and range starts of a day meet by an equality on (subject, day), each range
+    under all days it touches, so that no subject's rows meet all of its ranges. Ranges that overlap no other need no
+    choice; only rows in several are ranked by their key."""
+    w = W.partitionBy("subject").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("subject").orderBy(F.desc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    alone = (F.coalesce(F.max("end").over(w) <= F.col("start"), F.lit(True))) & (F.coalesce(F.min("start").over(later) >= F.col("end"), F.lit(True)))
+    own = ranges.select("subject", "seg_idx", "start", "end").where("start < end").withColumn("_alone", alone)
+    own = own.withColumn("_day", F.explode(F.expr("sequence(to_date(start), to_date(end))")))
+    met = rows.withColumn("_day", F.to_date("timestamp")).join(own, ["subject", "_day"]).where("timestamp >= start AND timestamp < end").drop("_day", "start", "end")
+    several = met.where("NOT _alone").withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("seg_idx"))).where("_n = 1").drop("_n")
+    return met.where("_alone").unionByName(several).drop("_alone")
 
 
 def as_objects(rows: DataFrame, requests: list[Request]) -> DataFrame:

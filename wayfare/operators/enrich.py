@@ -29,3 +29,29 @@ def boundary_locations(ranges: DataFrame, firsts: DataFrame, lasts: DataFrame, s
         return met.select("subject", "seg_idx", F.coalesce("_lat", "loc_lat", zero).alias(f"{name}_lat"), F.coalesce("_lon", "loc_lon", zero).alias(f"{name}_lon"))
 
     return side(firsts, "start", "start").join(side(lasts, "end", "end"), ["subject", "seg_idx"])
+
+
+def daily(ranges: DataFrame, activity: DataFrame, edges: DataFrame, firsts: DataFrame, lasts: DataFrame, signals: DataFrame, names: list[str]) -> DataFrame:
+    """(subject, seg_idx, day, n_segments, active_s, start_lat, start_lon, end_lat, end_lon) for each day (ranges, with
+    day). The location at a day's start is that of its first segment's start, or else the first one of the day, or else
+    the last fix before it; at its end likewise. activity: (subject, day, n_segments, active_s); edges: (subject, day,
+    start_lat, start_lon, end_lat, end_lon) of the day's first and last segments; firsts and lasts: (subject, seg_idx,
+    loc_lat, loc_lon) of the day's signals."""
+    filled = boundary_locations(ranges, firsts, lasts, signals, names)
+    out = ranges.select("subject", "seg_idx", "day").join(filled, ["subject", "seg_idx"])
+    zero = F.lit(0).cast("bigint")
+    out = out.join(activity.select("subject", "day", "n_segments", "active_s"), ["subject", "day"], "left")
+    own = edges.select("subject", "day", *[F.col(f"{a}_{b}").alias(f"_{a}_{b}") for a in ("start", "end") for b in ("lat", "lon")])
+    out = out.join(own, ["subject", "day"], "left")
+    there = lambda a: (F.col(f"_{a}_lat") != 0) | (F.col(f"_{a}_lon") != 0)
+    pick = lambda a, b: F.when(there(a), F.col(f"_{a}_{b}")).otherwise(F.col(f"{a}_{b}")).alias(f"{a}_{b}")
+    return out.select("subject", "seg_idx", "day", F.coalesce("n_segments", zero).alias("n_segments"), F.coalesce("active_s", zero).alias("active_s"), *[pick(a, b) for a in ("start", "end") for b in ("lat", "lon")])
+
+
+def day_edges(segments: DataFrame, places: DataFrame, days: DataFrame) -> DataFrame:
+    """(subject, day, start_lat, ...): where the day's first segment starts and its last one ends; segments (subject,
+    seg_idx, start_us, end_us), places (subject, seg_idx, start_lat, ...). The end of an open segment is not a place."""
+    met = segments.join(places, ["subject", "seg_idx"]).join(F.broadcast(days), (F.col("start_us") < F.col("day_end")) & (F.coalesce("end_us", "day_end") > F.col("day_start")))  # at most 33 days
+    first, last = F.struct("start_lat", "start_lon"), F.when(F.col("end_us").isNotNull(), F.struct("end_lat", "end_lon"))
+    found = met.groupBy("subject", "day").agg(F.min_by(first, "start_us").alias("f"), F.max_by(F.coalesce(last, F.struct(F.lit(0.0).alias("end_lat"), F.lit(0.0).alias("end_lon"))), "start_us").alias("l"))
+    return found.select("subject", "day", "f.*", "l.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.filters import EventFilter
 from wayfare.functions.timing import between
 from wayfare.operators import dedup
-from wayfare.operators.aggregate import in_first_range
+from wayfare.operators.aggregate import in_first_range, within
 
 
 def listing(events: DataFrame, start: int, end: int, where: EventFilter | None = None) -> DataFrame:
@@ -26,9 +26,9 @@ def counts(events: DataFrame, start: int, end: int, names: list[str] | None = No
 
 def counts_by_range(events: DataFrame, ranges: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(subject, seg_idx, name, count); each event counts in the first range that holds it."""
-    rows = events if not names else events.where(F.col("name").isin(names))
+    rows = within(events if not names else events.where(F.col("name").isin(names)), ranges)
     keys = rows.select(*dedup.EVENT_KEY).distinct()
-    return in_first_range(keys, ranges).groupBy("subject", "seg_idx", "name").agg(F.count("*").alias("count"))
+    return in_first_range(keys, ranges, dedup.EVENT_KEY).groupBy("subject", "seg_idx", "name").agg(F.count("*").alias("count"))
 
 
 def summaries(events: DataFrame) -> DataFrame:

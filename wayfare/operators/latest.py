@@ -67,7 +67,9 @@ def data_summary(signal_summaries: DataFrame, event_summaries: DataFrame, subjec
     return out.select("subject", F.coalesce("n_signals", zero).alias("n_signals"), F.coalesce("n_events", zero).alias("n_events"), F.coalesce("first_seen", now).alias("first_seen"), F.coalesce("last_seen", F.lit("1900-01-01 00:00:00").cast("timestamp")).alias("last_seen"))
 
 
-def allowed(rows: DataFrame, privileges: DataFrame, held: list[str]) -> DataFrame:
-    """rows of which the signal's privileges are all held; privileges: (name, needs array). An unknown name is denied."""
+def allowed(rows: DataFrame, privileges: DataFrame, held: list[str], one: bool = False) -> DataFrame:
+    """rows of which the signal's privileges are all held (or at least one of them); privileges: (name, needs array). An
+    unknown name is denied."""
     mine = F.array(*map(F.lit, held)) if held else F.array().cast("array<string>")
-    return rows.join(privileges.where(F.size(F.array_except("needs", mine)) == 0).select("name"), "name", "left_semi")
+    enough = F.size(F.array_intersect("needs", mine)) > 0 if one else F.size(F.array_except("needs", mine)) == 0
+    return rows.join(privileges.where(enough).select("name"), "name", "left_semi")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from wayfare.functions.filters import ArrayFilter
@@ -18,8 +19,8 @@ HEADER = ("subject", "time", "type", "id", "source", "producer", "data_version",
 
 @dataclass(frozen=True)
 class Search:
-    """isin and notin: lists by column. after and before are microseconds, neither inside. now is asked for where the
-    default lookback starts from it: without after, ids and subjects only 400 days are read."""
+    """isin and notin: lists by column. after and before are microseconds, neither inside. Without after, ids and subjects
+    only the 400 days up to before, or else up to now, are read (now: the time of the query, if it isn't given)."""
 
     isin: dict[str, list[str]] = field(default_factory=dict)
     notin: dict[str, list[str]] = field(default_factory=dict)
@@ -34,6 +35,13 @@ class Search:
         if self.tags and self.tags.any_of:
             raise ValueError("alternatives aren't supported here")
 
+    @classmethod
+    def cloud(cls, subject: str, type: str | None = None, types: list[str] | None = None, after: str | None = None, before: str | None = None, **values: str) -> Search:
+        """Of one subject; type and types are alternatives to each other."""
+        kinds = [t for t in [type, *(types or [])] if t is not None]
+        isin = {"subject": [subject]} | ({"type": kinds} if kinds else {}) | {k: [v] for k, v in values.items()}
+        return cls(isin=isin, after=after and micros(after), before=before and micros(before))
+
     @classmethod
     def simple(cls, after: str | None = None, before: str | None = None, **values: str) -> Search:
         """Each value as a list of one."""
@@ -44,9 +52,7 @@ class Search:
             df = df.where(F.col(column).isin(values)) if values else df
         for column, values in self.notin.items():
             df = df.where(~F.col(column).isin(values)) if values else df
-        after, last = self.after, self.before if self.before is not None else self.now
-        if after is None and last is not None and not self.isin.get("id") and not self.isin.get("subject"):
-            after = last - LOOKBACK_DAYS * 86_400_000_000
+        after = self.floor()
         df = df if after is None else df.where(F.col("time") > at(after))
         df = df if self.before is None else df.where(F.col("time") < at(self.before))
         if self.tags:
@@ -55,6 +61,19 @@ class Search:
         return df
 
 
+    def floor(self) -> int | None:
+        if self.after is not None or self.isin.get("id") or self.isin.get("subject"):
+            return self.after
+        last = self.before if self.before is not None else self.now
+        last = round(time.time() * 1_000_000) if last is None else last
+        return last - LOOKBACK_DAYS * 86_400_000_000
+
+    def tombstones(self, df: DataFrame) -> DataFrame:
+        """Rows that may void a match: of the subjects that are asked for, whenever they came."""
+        subjects = self.isin.get("subject")
+        return df.where(F.col("subject").isin(subjects)) if subjects else df
+
+
 def standing(rows: DataFrame, raw: DataFrame) -> DataFrame:
     """rows that are no tombstone and to which no tombstone of the same subject refers."""
     voided = raw.where(F.coalesce("voids_id", F.lit("")) != "").select("subject", F.col("voids_id").alias("id")).distinct()
@@ -63,7 +82,7 @@ def standing(rows: DataFrame, raw: DataFrame) -> DataFrame:
 
 def found(raw: DataFrame, search: Search, columns: tuple[str, ...] = HEADER) -> DataFrame:
     """Matching events without payloads (they aren't read), voided ones left out, one for each key."""
-    return dedup.raw(standing(search.on(raw).select(*columns), raw))
+    return dedup.raw(standing(search.on(raw).select(*columns), search.tombstones(raw)))
 
 
 def listing(raw: DataFrame, search: Search, limit: int = 10, newest: bool = True) -> DataFrame:
@@ -73,10 +92,34 @@ def listing(raw: DataFrame, search: Search, limit: int = 10, newest: bool = True
     return out.withColumn("locator", F.concat_ws("/", F.lit("lake:/"), "subject", "id"))
 
 
+class NotFound(LookupError):
+    pass
+
+
 def latest(raw: DataFrame, search: Search) -> DataFrame:
     return listing(raw, search, 1)
 
 
+def latest_row(raw: DataFrame, search: Search) -> Row:
+    """The newest match; an error if there is none."""
+    row = latest(raw, search).first()
+    if row is None:
+        raise NotFound("no event matches")
+    return row
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """rows with what the header has no columns for, from extras: tags (null if they aren't a list of strings), and
+    malformed (extras that are no JSON object, which are left out and can be counted)."""
+    text = F.coalesce("extras", F.lit(""))
+    there = ~text.isin("", "{}")
+    parsed = F.try_parse_json(text)
+    sound = there & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.tags", "variant"))
+    tags = F.when(kind == "ARRAY<STRING>", F.try_variant_get(parsed, "$.tags", "array<string>"))
+    return rows.withColumn("tags", F.when(sound, tags)).withColumn("malformed", there & ~sound)
+
+
 def type_summaries(raw: DataFrame, search: Search) -> DataFrame:
     return found(raw, search).groupBy("type").agg(F.count("*").alias("count"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
 
@@ -92,6 +135,28 @@ def payloads(raw: DataFrame, indexes: DataFrame) -> DataFrame:
     return out.withColumn("data", F.coalesce("exact", "newest")).drop("exact", "newest")
 
 
+def fetched(raw: DataFrame, indexes: DataFrame, budget: int = 256 << 20, most: int = 1000) -> DataFrame:
+    """payloads() of at most `most` indexes (position, ...) in their order; an error if one has no event, or if all
+    payloads together have more bytes than the budget. The sums are checked before any payload is sent anywhere."""
+    n = indexes.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} events")
+    if not n:
+        raise NotFound("no events are asked for")
+    found = payloads(raw, indexes)
+    missing, size = found.agg(F.sum(F.when(F.col("data").isNull(), 1).otherwise(0)), F.sum(F.octet_length("data"))).first()
+    if missing:
+        raise NotFound(f"{missing} events aren't there")
+    if size > budget:
+        raise ValueError(f"{size} bytes of payloads; the budget is {budget}")
+    return found.orderBy("position")
+
+
+def valid_key(key: str) -> bool:
+    """Whether an object key stays inside its folder."""
+    return bool(key) and not key.startswith("/") and ".." not in key.split("/")
+
+
 def with_blobs(raw: DataFrame, files: DataFrame, most: int = 50 << 20) -> DataFrame:
     """raw with content: of the file (path, length, content: what the binaryFile source gives) that data_index_key is the
     end of; null where there is none, or it is too large. Only the keys in use are joined."""

@@ -155,7 +155,7 @@ def inserted(base: DataFrame, batch: DataFrame) -> DataFrame:
     if low is None:
         return batch
     held = base.where((F.col("timestamp") >= at(low)) & (F.col("timestamp") <= at(high)))
-    return batch.dropDuplicates(key).join(held.select(*key), key, "left_anti")
+    return batch.dropDuplicates(key).join(held.select(*key).distinct(), key, "left_anti")
 
 
 def pruned(signals: DataFrame, rollup: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:

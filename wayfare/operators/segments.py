@@ -104,14 +104,17 @@ def change_point(signals: DataFrame, start: int, end: int, config: Config, now:
 
 def state_changes(samples: DataFrame, start: int, end: int, lookback: int) -> DataFrame:
     """(subject, timestamp, state, previous) of samples (subject, timestamp, value): transitions from `lookback` before
-    start to end, and the last one before. The state before the first is 0. If nothing changed and the last state is 1,
-    the first reading from `lookback` before start on counts as the change."""
+    start to end. The state before the first of them is that of the last sample before, whenever it was (0 if there is
+    none): of those older samples one row a subject is kept by a sum, and only the newer ones are ordered. If nothing
+    changed and the last state is 1, the first reading from `lookback` before start on counts as the change."""
+    floor = at(start - lookback)
+    known = samples.where(F.col("value").isNotNull())
+    older = known.where(F.col("timestamp") < floor).groupBy("subject").agg(F.max("timestamp").alias("timestamp"), F.max_by("value", "timestamp").alias("value"))
+    newer = known.where((F.col("timestamp") >= floor) & (F.col("timestamp") < at(end))).select("subject", "timestamp", "value")
     w = W.partitionBy("subject").orderBy("timestamp")
-    rows = samples.where(F.col("timestamp") < at(end)).where(F.col("value").isNotNull())
-    rows = rows.withColumn("previous", F.coalesce(F.lag("value").over(w), F.lit(0.0)))
-    rows = rows.select("subject", "timestamp", F.col("value").alias("state"), "previous")
-    inside = F.col("timestamp") >= at(start - lookback)
-    rows = rows.withColumn("_inside", inside).withColumn("_changed", inside & (F.col("state") != F.col("previous")))
+    rows = newer.withColumn("_inside", F.lit(True)).unionByName(older.withColumn("_inside", F.lit(False)))
+    rows = rows.withColumn("previous", F.coalesce(F.lag("value").over(w), F.lit(0.0))).withColumnRenamed("value", "state")
+    rows = rows.withColumn("_changed", F.col("_inside") & (F.col("state") != F.col("previous")))
     first = F.col("_inside") & ~F.coalesce(F.lag("_inside").over(w), F.lit(False))
     rows = rows.withColumn("_first", first).withColumn("_any", F.max("_changed").over(W.partitionBy("subject")))
     steady = F.col("_first") & ~F.col("_any") & (F.col("state") == 1)
@@ -265,10 +268,14 @@ def dedup_rank(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("subject").orderBy("start_us"))).where(F.col("_n") <= limit).drop("_n")
 
 
-def as_ranges(segments: DataFrame, end: int) -> DataFrame:
-    """(subject, seg_idx, start, end) for the range aggregates; an open segment lasts to the end."""
+def as_ranges(segments: DataFrame, end: int, buffer: int = 0) -> DataFrame:
+    """(subject, seg_idx, start, end) for the range aggregates; an open segment lasts to the end. A buffer (microseconds)
+    makes each range longer, up to where the next one starts."""
     w = W.partitionBy("subject").orderBy("start_us")
-    return segments.select("subject", (F.row_number().over(w) - 1).alias("seg_idx"), F.timestamp_micros("start_us").alias("start"), F.timestamp_micros(F.coalesce("end_us", F.lit(end))).alias("end"))
+    last = F.coalesce("end_us", F.lit(end))
+    if buffer:
+        last = F.greatest(last, F.least(last + buffer, F.coalesce(F.lead("start_us").over(w), last + buffer)))
+    return segments.select("subject", (F.row_number().over(w) - 1).alias("seg_idx"), F.timestamp_micros("start_us").alias("start"), F.timestamp_micros(last).alias("end"))
 
 
 def civil_days(start: str, end: str, zone: str, spark) -> DataFrame:
@@ -285,3 +292,11 @@ def daily_activity(segments: DataFrame, days: DataFrame) -> DataFrame:
     part = (F.least(end, F.col("day_end")) - F.greatest("start_us", "day_start")) / SECOND
     found = cut.groupBy("subject", "day").agg(F.count("*").alias("n_segments"), F.sum(F.floor(part)).alias("active_s"), F.min("start_us").alias("first_us"), F.max(end).alias("last_us"))
     return found
+
+
+def by_day(subjects: DataFrame, days: DataFrame) -> DataFrame:
+    """(subject, seg_idx, start, end, day): each civil day of each subject as a range; seg_idx counts the days."""
+    w = W.orderBy("day")  # at most 33 days
+    numbered = days.withColumn("seg_idx", F.row_number().over(w) - 1).agg(F.collect_list(F.struct("seg_idx", "day", "day_start", "day_end")).alias("_days"))
+    every = subjects.select("subject").distinct().join(F.broadcast(numbered)).select("subject", F.explode("_days").alias("d"))  # one row
+    return every.select("subject", "d.seg_idx", F.timestamp_micros("d.day_start").alias("start"), F.timestamp_micros("d.day_end").alias("end"), "d.day")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfare.functions.geo import FACES, STEP
 from wayfare.plans.queries import DAY, END, HOUR, ODD, RING, START, WATERMARK
 
 SIG = """
@@ -89,9 +90,39 @@ STATES = "st AS (SELECT subject, timestamp, (CASE WHEN value_number > 30 THEN 1
 
 
 def _changes(lookback: int) -> str:
-    return f"""ch AS (SELECT subject, timestamp, state, previous FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY subject ORDER BY timestamp), 0)::DOUBLE AS previous FROM st WHERE epoch_us(timestamp) < {END})
- WHERE state <> previous AND epoch_us(timestamp) >= {START - lookback})"""
-
+    floor = START - lookback
+    return f"""old AS (SELECT subject, arg_max(state, timestamp) AS state FROM st WHERE state IS NOT NULL AND epoch_us(timestamp) < {floor} GROUP BY subject),
+sq AS (SELECT n.subject, timestamp, n.state, coalesce(lag(n.state) OVER w, old.state, 0)::DOUBLE AS previous, row_number() OVER w AS i
+ FROM st n LEFT JOIN old USING (subject) WHERE n.state IS NOT NULL AND epoch_us(timestamp) >= {floor} AND epoch_us(timestamp) < {END} WINDOW w AS (PARTITION BY n.subject ORDER BY timestamp)),
+ch AS (SELECT subject, timestamp, state, previous FROM sq WHERE state <> previous UNION ALL
+ SELECT subject, timestamp, state, 0 FROM sq q WHERE i = 1 AND state = 1 AND NOT EXISTS (SELECT 1 FROM sq z WHERE z.subject = q.subject AND z.state <> z.previous))"""
+
+
+STEADY = f"""st AS (SELECT subject, timestamp, (CASE substring(subject, 10)::INTEGER % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN epoch_us(timestamp) < {START - HOUR} THEN 1 END
+ ELSE CASE WHEN value_number > 30 THEN 1 ELSE 0 END END)::DOUBLE AS state FROM (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY subject, timestamp ORDER BY cloud_event_id) = 1))"""
+
+
+def _snapped(name: str, source: str, resolution: int = 6) -> str:
+    """One pass of the hexagonal grid over (loc_lat, loc_lon, lat, lon in radians)."""
+    scale, half = 7 ** (resolution / 2) / STEP, "(sqrt(3) / 2)"
+    faces = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in FACES)
+    return f"""{name}a AS (SELECT *, cos(lat) * cos(lon) * cos(a) * cos(b) + cos(lat) * sin(lon) * cos(a) * sin(b) + sin(lat) * sin(a) AS dot
+ FROM {source}, (VALUES {faces}) AS f(a, b, c) QUALIFY row_number() OVER (PARTITION BY loc_lat, loc_lon ORDER BY dot DESC) = 1),
+{name}b AS (SELECT *, sqrt(greatest(0, 1 / (dot * dot) - 1)) * {scale!r} AS far, c - atan2(cos(lat) * sin(lon - b), cos(a) * sin(lat) - sin(a) * cos(lat) * cos(lon - b)) AS angle FROM {name}a),
+{name}c AS (SELECT *, far * cos(angle) + far * sin(angle) / {half} / 2 AS i, far * sin(angle) / {half} AS j FROM {name}b),
+{name}d AS (SELECT *, floor(i) + u AS ci, floor(j) + v AS cj FROM {name}c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(u, v)
+ QUALIFY row_number() OVER (PARTITION BY loc_lat, loc_lon ORDER BY (i - ci) ^ 2 - (i - ci) * (j - cj) + (j - cj) ^ 2) = 1),
+{name}e AS (SELECT *, ci - cj / 2 AS x, cj * {half} AS y FROM {name}d),
+{name}f AS (SELECT *, atan(sqrt(x * x + y * y) / {scale!r}) AS d, c - atan2(y, x) AS az FROM {name}e),
+{name}g AS (SELECT *, asin(greatest(-1, least(1, sin(a) * cos(d) + cos(a) * sin(d) * cos(az)))) AS lat2 FROM {name}f),
+{name} AS (SELECT loc_lat, loc_lon, lat2 AS lat, b + atan2(sin(az) * sin(d) * cos(a), cos(d) - sin(a) * sin(lat2)) AS lon FROM {name}g)"""
+
+
+DECODED = """dec0 AS (SELECT 'did:test:' || (user_id % 20) AS subject, 'id-' || event_id AS cloud_event_id, ts AS timestamp, event_id FROM events),
+dec AS (SELECT subject, cloud_event_id, 'speed' AS name, timestamp, (event_id % 200)::DOUBLE AS value_number, '' AS value_string, 0::DOUBLE AS loc_lat, 0::DOUBLE AS loc_lon, 0::DOUBLE AS loc_hdop, 0::DOUBLE AS loc_heading FROM dec0
+UNION ALL SELECT subject, cloud_event_id, 'exteriorAirTemperature', timestamp, event_id + 0.5::DOUBLE, '', 0, 0, 0, 0 FROM dec0
+UNION ALL SELECT subject, cloud_event_id, 'powertrainType', timestamp, 0, CASE WHEN event_id % 2 = 0 THEN 'HEV' ELSE 'BEV' END, 0, 0, 0, 0 FROM dec0
+UNION ALL SELECT subject, cloud_event_id, 'currentLocationCoordinates', timestamp, 0, '', event_id % 90, event_id % 180, 1, 0 FROM dec0 WHERE event_id % 180 <> 0)"""
 
 IGNITION = f"""
 nx AS (SELECT *, epoch_us(timestamp) AS us, min(CASE WHEN state = 1 THEN epoch_us(timestamp) END) OVER (PARTITION BY subject ORDER BY timestamp ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ch),
@@ -213,7 +244,7 @@ ORACLES: dict[str, str] = {
     "raw_type_summaries": _raw("true", "GROUP BY type", "type, count(*) AS count, epoch_us(min(time)) AS first_seen, epoch_us(max(time)) AS last_seen"),
     "raw_tags_filter": _raw("list_has_any(tags, ['click', 'view']) AND NOT list_contains(tags, 'k3') AND list_contains(tags, 'k1')"),
     "raw_payloads": _raw(
-        "subject = 'did:test:4'", "",
+        "true", "",
         """subject, id, epoch_us(time) AS time, type, CASE WHEN producer = 'prod-0' THEN 'elsewhere' ELSE source END AS source,
  CASE WHEN producer = 'prod-0' THEN (SELECT data FROM r WHERE r.subject = found.subject AND r.id = found.id ORDER BY r.time DESC, r.type DESC, r.source DESC, data DESC LIMIT 1) ELSE data END AS data""",
     ),
@@ -228,7 +259,7 @@ UNION ALL SELECT subject, cloud_event_id, 'currentLocationCoordinates', timestam
     "coordinate_merge": _with(
         """SELECT subject, cloud_event_id, epoch_us(timestamp) + (CASE WHEN alone THEN 600000 ELSE 0 END) AS timestamp, CASE WHEN alone OR NOT fix THEN 0 ELSE loc_lat END AS loc_lat, CASE WHEN alone OR NOT fix THEN 0 ELSE loc_lon END AS loc_lon,
  CASE WHEN alone OR NOT late THEN loc_hdop ELSE 0 END AS loc_hdop
- FROM (SELECT *, event_id % 10 IN (0, 3, 6, 9) AS late, (loc_lat <> 0 OR loc_lon <> 0) AND loc_lat BETWEEN -90 AND 90 AND loc_lon BETWEEN -180 AND 180 AS fix FROM sig0), (VALUES (false), (true)) AS t(alone)
+ FROM (SELECT *, event_id % 10 IN (0, 3, 6, 9) AS late, (loc_lat <> 0 OR loc_lon <> 0) AND loc_lat BETWEEN -90 AND 90 AND loc_lon BETWEEN -180 AND 180 AS fix FROM sig), (VALUES (false), (true)) AS t(alone)
  WHERE CASE WHEN alone THEN late ELSE fix OR NOT late END"""
     ),
     "rollup_signals": _with(_us(_rollup("sig"), *ROLLUP_US)),
@@ -267,7 +298,40 @@ UNION ALL SELECT subject, cloud_event_id, 'currentLocationCoordinates', timestam
         *FREQUENCY, ASOF,
     ),
     "rollup_flushed": _with(_us(_rollup("sig"), *ROLLUP_US)),
-    "coarse_locations": _with(f"SELECT subject, (floor(loc_lat / 5) + 0.5) * 5 AS lat, (floor(loc_lon / 5) + 0.5) * 5 AS lon FROM ({LATEST}) WHERE name = 'view' AND loc_ts IS NOT NULL"),
+    "approximate_locations": _with(
+        "SELECT loc_lat, loc_lon, round(degrees(lat) * 1000000)::BIGINT AS lat, round((degrees(lon) - 360 * floor((degrees(lon) + 180) / 360)) * 1000000)::BIGINT AS lon FROM twice",
+        f"pts AS (SELECT DISTINCT loc_lat, loc_lon, radians(loc_lat * 0.9 + 0.123) AS lat, radians(loc_lon + 0.456) AS lon FROM sig WHERE {FIX})",
+        _snapped("once", "pts"), _snapped("twice", "once"),
+    ),
+    "decode_last_in_payload": "SELECT 'did:test:' || (user_id % 20) AS subject, 'id-' || event_id AS cloud_event_id, 'speed' AS name, epoch_us(ts) AS timestamp, (event_id % 200)::DOUBLE AS value_number FROM events",
+    "ignition_steady": _with("SELECT subject, epoch_us(timestamp) AS timestamp, state, previous FROM ch", STEADY, _changes(2 * DAY)),
+    "segments_ignition_steady": _with(
+        f"""SELECT subject, a AS start_us, b AS end_us, (coalesce(b, {END}) - a) // 1000000 AS duration_s, b IS NULL AS ongoing, a < {START} AS started_before
+ FROM rn WHERE a IS NOT NULL AND (coalesce(b, {END}) - a) // 1000000 >= 600 AND (b IS NULL OR b > {START})""",
+        STEADY, _changes(30 * DAY), IGNITION,
+    ),
+    "ingest_rollup": f"WITH {DECODED} {_us(_rollup('dec'), *ROLLUP_US)}",
+    "ingest_daily": f"WITH {DECODED} {_us(_rollup(f'(SELECT * FROM dec WHERE {BELOW})'), *ROLLUP_US)}",
+    "ingest_events": """SELECT 'did:test:' || (user_id % 20) AS subject, 'id-' || event_id AS cloud_event_id, event_type AS name, epoch_us(ts) AS timestamp, event_id * 1000 AS duration_ns, '{"a":1}' AS metadata, '["ok"]' AS tags FROM events""",
+    "ingest_errors": "SELECT n AS name, e AS error, (SELECT count(*) FROM events) AS ids FROM (VALUES ('obdDistanceWithMIL', 'no number'), ('notInTheCatalogue', 'unknown name'), ('broken', 'bad metadata'), ('tagged', 'bad tag')) AS t(n, e)",
+    "feed_page": f"""WITH {RAW}, p AS (SELECT * FROM r WHERE type = 'fleet.status' AND (epoch_us(time), subject, id) > ({START}, 'did:test:7', 'id-5') ORDER BY epoch_us(time), subject, id LIMIT 500)
+SELECT subject, epoch_us(time) AS time, type, id, source FROM p QUALIFY sum(length(data)) OVER (ORDER BY epoch_us(time), subject, id) <= 3000""",
+    "cache_bootstrap": _with(_us(f"SELECT * EXCLUDE (count, first_seen, last_seen) FROM {_rollup('sig')}", "timestamp", "loc_ts")),
+    "cache_answers": _with(
+        f"""SELECT subject, CASE WHEN substring(subject, 10)::INTEGER % 3 = 0 THEN 'rollup' ELSE 'cache' END AS origin, name, epoch_us(timestamp) AS timestamp, value_number FROM ({LATEST}) WHERE substring(subject, 10)::INTEGER % 2 = 0
+ UNION ALL SELECT DISTINCT subject, 'cache_miss', NULL, NULL::BIGINT, NULL::DOUBLE FROM (SELECT subject FROM sig UNION ALL SELECT unnest(['did:test:90', 'did:test:91'])) WHERE substring(subject, 10)::INTEGER % 6 = 0 OR length(subject) = 11 AND substring(subject, 10)::INTEGER >= 90"""
+    ),
+    "cache_keys": _with("SELECT DISTINCT subject, 's.' || replace(replace(rtrim(base64(encode('ÿ~' || subject)), '='), '+', '-'), '/', '_') AS key FROM sig"),
+    "daily_summary": _with(
+        """SELECT u.subject, strftime(dy.day, '%Y-%m-%d') AS day,
+ (SELECT count(*) FROM seg WHERE seg.subject = u.subject AND start_us < day_end AND end_us > day_start) AS n_segments,
+ coalesce((SELECT sum((least(end_us, day_end) - greatest(start_us, day_start)) // 1000000) FROM seg WHERE seg.subject = u.subject AND start_us < day_end AND end_us > day_start), 0)::BIGINT AS active_s,
+ (SELECT count(*) FROM ev WHERE ev.subject = u.subject AND name = 'click' AND epoch_us(timestamp) >= day_start AND epoch_us(timestamp) < day_end) AS click,
+ (SELECT count(*) FROM ev WHERE ev.subject = u.subject AND name = 'signup' AND epoch_us(timestamp) >= day_start AND epoch_us(timestamp) < day_end) AS signup
+ FROM (SELECT DISTINCT subject FROM sig) u, dy""",
+        *FREQUENCY,
+        "dy AS (SELECT day, epoch_us(day) + 18000000000 AS day_start, epoch_us(day) + 104400000000 AS day_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS day))",
+    ),
     "subject_buckets": _with(
         """SELECT subject, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, len(subject) + 1), lambda i: ascii(subject[i])::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 256)::INTEGER AS subject_bucket
  FROM (SELECT DISTINCT subject FROM sig)"""

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.filters import ArrayFilter, EventFilter, FloatFilter, LocationFilter, StringFilter
-from wayfare.functions.geo import coarse_cell, has_fix
+from wayfare.functions.geo import approximate, has_fix
 from wayfare.functions.hashing import fnv_bucket
 from wayfare.functions.timing import at, micros
 from wayfare.operators import aggregate, asof, decode, dedup, enrich, events, latest, raw, rollup, segments
 from wayfare.operators.aggregate import Request
 from wayfare.operators.raw import Search
+from wayfare.plans import serving
 from wayfare.schema import LOCATION, FloatAgg, LocationAgg, StringAgg
 from wayfare.sources import fixtures
+from wayfare.streaming.ingest import Lake, backfill, page
 
 START, END = micros("2024-01-05"), micros("2024-01-12")
 ODD = micros("2024-01-05T00:37:13")
@@ -28,6 +30,8 @@ FEW = segments.Config(max_gap=3600, min_duration=240, signal_count=2, distinct_c
 STATES = segments.Config(max_gap=3600, min_duration=600)
 QUIET = segments.Config(max_gap=3600, min_duration=60, max_idle=30)
 
+EVERYTHING = Search(after=0)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -320,24 +324,24 @@ def raw_latest(spark, d):
 
 @query
 def raw_found(spark, d):
-    return _raw(raw.found(fixtures.raw(spark, d), Search()))
+    return _raw(raw.found(fixtures.raw(spark, d), EVERYTHING))
 
 
 @query
 def raw_type_summaries(spark, d):
-    return _us(raw.type_summaries(fixtures.raw(spark, d), Search()), "first_seen", "last_seen")
+    return _us(raw.type_summaries(fixtures.raw(spark, d), EVERYTHING), "first_seen", "last_seen")
 
 
 @query
 def raw_tags_filter(spark, d):
-    return _raw(raw.found(fixtures.raw(spark, d), Search(tags=ArrayFilter(contains_any=["click", "view"], not_contains_any=["k3"], contains_all=["k1"]))))
+    return _raw(raw.found(fixtures.raw(spark, d), Search(after=0, tags=ArrayFilter(contains_any=["click", "view"], not_contains_any=["k3"], contains_all=["k1"]))))
 
 
 @query
 def raw_payloads(spark, d):
     """Half of the indexes have another source than their row, so that the newest row of the id stands in."""
     r = fixtures.raw(spark, d)
-    indexes = raw.found(r, Search(isin={"subject": ["did:test:4"]})).withColumn("source", F.when(F.col("producer") == "prod-0", "elsewhere").otherwise(F.col("source")))
+    indexes = raw.found(r, EVERYTHING).withColumn("source", F.when(F.col("producer") == "prod-0", "elsewhere").otherwise(F.col("source")))
     return _us(raw.payloads(r, indexes).select("subject", "id", "time", "type", "source", "data"), "time")
 
 
@@ -361,9 +365,9 @@ def decode_events(spark, d):
 @query
 def coordinate_merge(spark, d):
     """Three parts of a location from each event, the last of them late for every third."""
-    s = fixtures.with_bucket(fixtures.signals(spark, d)).where("value_number <> -999").withColumn("producer", F.lit("p"))
+    s = fixtures.with_bucket(fixtures.signals(spark, d)).withColumn("producer", F.lit("p"))
     lag = lambda n: F.expr(f"timestamp_micros(unix_micros(timestamp) + {n})")
-    late = F.when(F.substring("cloud_event_id", 12, 1).isin("0", "3", "6", "9"), lag(600_000)).otherwise(lag(200_000))
+    late = F.when(F.substring("cloud_event_id", -1, 1).isin("0", "3", "6", "9"), lag(600_000)).otherwise(lag(200_000))
     part = lambda name, v, t: s.withColumn("name", F.lit(name)).withColumn("value_number", F.col(v)).withColumn("timestamp", t).withColumn("value_string", F.lit(""))
     rows = part(decode.LATITUDE, "loc_lat", F.col("timestamp")).unionByName(part(decode.LONGITUDE, "loc_lon", lag(100_000))).unionByName(part(decode.HDOP, "loc_hdop", late))
     found = decode.merged_coordinates(rows.withColumns({c: F.lit(0.0) for c in LOCATION}))
@@ -503,6 +507,124 @@ def rollup_flushed(spark, d):
 
 
 @query
-def coarse_locations(spark, d):
-    lat, lon = coarse_cell(F.col("loc_lat"), F.col("loc_lon"), 5.0)
-    return latest.locations(fixtures.signals(spark, d), ["view"]).select("subject", lat.alias("lat"), lon.alias("lon"))
+def approximate_locations(spark, d):
+    """The middles of the H3 cells of all fixes' places, as millionths of a degree."""
+    places = fixtures.signals(spark, d).where(has_fix()).select("loc_lat", "loc_lon").distinct()
+    near = approximate(F.col("loc_lat") * 0.9 + 0.123, F.col("loc_lon") + 0.456)
+    whole = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
+    return places.withColumn("c", near).select("loc_lat", "loc_lon", whole("c.lat").alias("lat"), whole("c.lon").alias("lon"))
+
+
+@query
+def decode_last_in_payload(spark, d):
+    rows = decode.batch(fixtures.repeated_payloads(spark, d)).signals
+    return _us(rows.select("subject", "cloud_event_id", "name", "timestamp", "value_number"), "timestamp")
+
+
+def _steady(spark, d) -> DataFrame:
+    """Some subjects are on, or off, at all times; some since before the lookback only."""
+    k = F.substring("subject", 10, 4).cast("int")
+    value = F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.0).when(k % 4 == 2, F.when(F.col("timestamp") < at(START - HOUR), 1.0)).otherwise(F.col("value"))
+    return _states(spark, d).withColumn("value", value)
+
+
+@query
+def ignition_steady(spark, d):
+    return _us(segments.state_changes(_steady(spark, d), START, END, 2 * DAY), "timestamp")
+
+
+@query
+def segments_ignition_steady(spark, d):
+    return segments.ignition(_steady(spark, d), START, END, STATES)
+
+
+def _envelopes(spark, d) -> DataFrame:
+    return fixtures.status_payloads(spark, d).unionByName(fixtures.event_payloads(spark, d))
+
+
+def _ingested(spark, d) -> Lake:
+    """Two batches of a stream, the first of them twice, a backfill of what they left out and of some that they didn't,
+    and a third batch."""
+    rows = _envelopes(spark, d)
+    part = lambda *k: rows.where(F.pmod(F.xxhash64("id"), F.lit(4)).isin(*k))
+    lake = Lake(spark, fixtures.scratch(spark), "month")
+    for number, some in ((0, part(0)), (0, part(0)), (1, part(1))):
+        lake.append(decode.batch(some), "feed", number)
+    backfill(lake, part(1, 2), "2024-01-01", "2100-01-01")
+    lake.append(decode.batch(part(3, 0)), "feed", 2)
+    return lake
+
+
+@query
+def ingest_rollup(spark, d):
+    return _rollup(_ingested(spark, d).rollup())
+
+
+@query
+def ingest_events(spark, d):
+    rows = _ingested(spark, d).events()
+    return _us(rows.select("subject", "cloud_event_id", "name", "timestamp", "duration_ns", "metadata", F.to_json("tags").alias("tags")), "timestamp")
+
+
+@query
+def ingest_errors(spark, d):
+    rows = _ingested(spark, d).errors()
+    return rows.groupBy("name", "error").agg(F.countDistinct("id").alias("ids"))
+
+
+@query
+def ingest_daily(spark, d):
+    """The daily rollup moves twice; in between come rows from before its watermark."""
+    rows = fixtures.status_payloads(spark, d)
+    late = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    lake = Lake(spark, fixtures.scratch(spark), "month")
+    lake.append(decode.batch(rows.where(~late)), "feed", 0)
+    lake.advance(START + DAY // 2)
+    lake.append(decode.batch(rows.where(late)), "feed", 1)
+    lake.advance(WATERMARK + DAY // 2)
+    return _rollup(lake.rollup("daily"))
+
+
+@query
+def feed_page(spark, d):
+    r = fixtures.raw(spark, d).where("type = 'fleet.status'")
+    return _raw(page(r, (START, "did:test:7", "id-5"), 500, 3000))
+
+
+@query
+def cache_bootstrap(spark, d):
+    s = fixtures.signals(spark, d)
+    return _us(serving.bootstrapped(rollup.full(rollup.below(s, WATERMARK)), s, WATERMARK), "timestamp", "loc_ts")
+
+
+@query
+def cache_answers(spark, d):
+    """The cache lacks every third subject; half of all are asked for, and some that nobody has."""
+    s = fixtures.signals(spark, d)
+    stored = rollup.full(s)
+    k = F.substring("subject", 10, 4).cast("int")
+    cache = rollup.latest_fold(s).where(k % 3 != 0)
+    asked = s.select("subject").distinct().where(k % 2 == 0).unionByName(spark.createDataFrame([("did:test:90",), ("did:test:91",)], "subject string"))
+    found = serving.answer(asked, cache, stored, serving.Mode.SERVE)
+    missed = serving.answer(asked, cache, stored, serving.Mode.SERVE, serving.Mode.SERVE, True).where("origin = 'cache_miss'")
+    return _us(found.unionByName(missed).select("subject", "origin", "name", "timestamp", "value_number"), "timestamp")
+
+
+@query
+def cache_keys(spark, d):
+    return fixtures.signals(spark, d).select("subject").distinct().withColumn("key", serving.key(F.concat(F.lit("ÿ~"), F.col("subject"))))
+
+
+@query
+def daily_summary(spark, d):
+    """Each day of each subject: segments, active seconds and counts of two events."""
+    s = fixtures.signals(spark, d)
+    found = segments.frequency(s, START, END, FEW, END + DAY)
+    days = segments.civil_days("2024-01-05", "2024-01-11", "America/New_York", spark)
+    ranges = segments.by_day(s.select("subject"), days)
+    counts = enrich.event_summary(ranges, events.counts_by_range(fixtures.events(spark, d), ranges, ["click", "signup"]), ["click", "signup"])
+    counts = counts.groupBy("subject", "seg_idx").pivot("name", ["click", "signup"]).agg(F.first("count"))
+    active = segments.daily_activity(found, days).select("subject", "day", "n_segments", "active_s")
+    out = ranges.join(active, ["subject", "day"], "left").join(counts, ["subject", "seg_idx"])
+    zero = F.lit(0).cast("bigint")
+    return out.select("subject", F.col("day").cast("string").alias("day"), F.coalesce("n_segments", zero).alias("n_segments"), F.coalesce("active_s", zero).alias("active_s"), "click", "signup")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +119,23 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("subject_bucket", fnv_bucket(F.col("subject")))
+
+
+def repeated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status envelopes that tell the speed of one instant three times, at last the least, written in another zone, and
+    then one that can't be decoded."""
+    e = _base(spark, sf_dir)
+    n = F.col("event_id") % 200
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    signal = lambda zone, value: F.concat(F.lit('{"timestamp":"'), stamp, F.lit(f'{zone}","name":"speed","value":'), value, F.lit("}"))
+    some = [signal("Z", (n + 300).cast("string")), signal("Z", (n + 900).cast("string")), signal("+00:00", n.cast("string")), signal("Z", F.lit('"fast"'))]
+    data = F.concat(F.lit('{"signals":['), F.concat_ws(",", *some), F.lit("]}"))
+    return e.select(_subject().alias("subject"), F.col("timestamp").alias("time"), F.lit("fleet.status").alias("type"), F.concat(F.lit("id-"), F.col("event_id").cast("string")).alias("id"), F.lit("src-0").alias("source"), F.lit("prod-0").alias("producer"), data.alias("data"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, or, only where none is named and all runs on one machine, here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return f"{named or tempfile.gettempdir()}/wayfare-{uuid.uuid4().hex}"
