@@ -715,9 +715,31 @@ def test_pipeline_near_duplicates_by_row(spark):
 
     a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcd")
     near = a.rsplit(" ", 1)[0]
-    rows = [(7, a), (2, near), (1, b), (2, c), (7, d), (4, d + " " + d), (9, c), (4, d + " " + d), (None, a), (None, a), (3, "short"), (3, "other")]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted(((r.doc_id or 0, r.text) for r in cp.drop_near_duplicates(spark, df, SF).collect()))
-    want = [(0, a), (0, a), (1, b), (2, near), (2, c), (3, "other"), (3, "short"), (4, d + " " + d)]
+    rows = [(7, a), (2, near), (1, b), (2, c), (7, d), (4, d + " " + d), (9, c), (4, d + " " + d), (None, a), (None, a), (3, "short"), (3, "other"), (None, "alone"), (None, "alone"), (5, None), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in cp.drop_near_duplicates(spark, df, SF).collect()), key=str)
+    want = [(0, "alone"), (1, b), (2, near), (2, c), (3, "other"), (3, "short"), (4, d + " " + d), (5, None), (5, ""), (0, None)]
     sets = classes([(0, d), (1, d + " " + d)], 5, 80)
-    assert got == sorted(want + ([(7, d)] if sets[1][1] == 1 else []))
+    assert got == sorted(want + ([(7, d)] if sets[1][1] == 1 else []), key=str)
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline as cp
+
+    known = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000)
+    real = {r.lang: r.text for r in known.where("n_chars BETWEEN 800 AND 3000").collect()}
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(i, t, lang, None if i % 2 else "s", None) for i, (lang, t) in enumerate(sorted(real.items()))]
+    rows += [(50, "", "en", "s", 0), (51, None, "en", "s", 0), (None, "Qzxqj vvkwx " * 30, None, None, None), (52, bench, None, "s", 3), (53, "token=abcdefgh1 " + real["de"], "de", "s", 3), (54, real["en"], "en", "s", 3), (54, real["en"], "en", "s", 3), (55, "1234 5678", None, "s", 1)]
+    df = docs(spark, rows)
+    kept = cp.identify_language(spark, df.select(*cp.COLUMNS).unionByName(known), SF).where("doc_id IS NULL OR doc_id < 1000").collect()
+    assert sorted(r.doc_id or -1 for r in kept if r.doc_id != 0) == [1, 2, 3, 52, 53, 54, 54]
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in cp.identify_language(spark, unlabelled, SF).collect()} == {None, 0, 1, 2, 3, 52, 53, 54}
+    assert {r.doc_id for r in cp.drop_contaminated(spark, df, SF).collect()} == {r[0] for r in rows} - {52}
+    red = {r.doc_id: r for r in cp.redact_secrets(spark, df, SF).collect()}
+    assert red[53].text == "[SECRET] " + real["de"] and red[53].n_chars == len(red[53].text) and red[51].text is None and red[54].n_chars == 3
+    assert {r.doc_id for r in cp.mix_sources(spark, df, SF).collect()} >= {0, 1, 2, 3, None, 54}
+    none = df.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
