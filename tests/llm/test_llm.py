@@ -100,6 +100,35 @@ def test_probes_hold_for_rows_outside_the_fit():
     assert hit >= 0.87
 
 
+def recall_of(found, x, ids, queries, k=10):
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(by[ids[q]] & {ids[i] for i in np.lexsort((ids, d))[:k]})
+    return hit / (k * len(queries))
+
+
+def test_neighbours_of_two_levels(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 8)) + 4 * rng.standard_normal((20, 8))[rng.integers(0, 20, 6000)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 100 == 0, sample=512, rows_per_part=100, width=8).collect()
+    assert len(got) == 600 and recall_of(got, x, np.arange(6000), range(0, 6000, 100)) >= 0.9
+
+
+def test_recall_on_embeddings(spark):
+    """The query itself, on the largest table, against brute force."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("embedding IS NOT NULL").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    got = QUERIES["op2_nearest_neighbours"](spark, sf).collect()
+    assert recall_of(got, x, ids, [i for i, v in enumerate(ids) if v % 100 == 0]) >= 0.9
+
+
 def test_balanced_parts():
     x = np.random.default_rng(0).standard_normal((256, 4))
     label = neighbours.balanced_parts(x, neighbours.knn(x, x, 5, own=True), 8)

@@ -3,6 +3,7 @@ classifier that routes vectors to partitions."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from wayfare.llm.common import cut
 
 NEAR = 10  # neighbours of a vector in the graph
 HIDDEN = 128
+WIDTH = 256  # partitions of a level at most
 HELD_BACK = 8  # one of so many sampled rows only measures recall
 
 
@@ -148,14 +150,78 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: n
             yield own, int(ids[keep[i]]), float(d[i])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096, rows_per_part: int = 4096, recall: float = 0.98, block: int = 8192) -> DataFrame:
+class Tree:
+    """Routers of one or two levels: the first deals vectors to partitions, and those of the second deal a partition that
+    holds many to partitions of its own. A path is partition * WIDTH + partition of the second level."""
+
+    def __init__(self, first: Router | None, second: dict[int, Router]):
+        self.first, self.second = first, second
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """The first level alone."""
+        return self.first.scores(x).argmax(1) if self.first and len(x) else np.zeros(len(x), np.int64)
+
+    def home(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        path = part.astype(np.int64) * WIDTH
+        for p in np.unique(part).tolist():
+            if p in self.second:
+                own = part == p
+                path[own] += self.second[p].scores(x[own]).argmax(1)
+        return path
+
+    def visits(self, x: np.ndarray, held: dict[int, int], k: int) -> list[np.ndarray]:
+        """The paths that each vector visits: as many of the most probable partitions as the routers found necessary, and
+        more in the same order while those hold no more than k vectors."""
+        if not self.first or not len(x):
+            return [np.array(sorted(held), np.int64)] * len(x)
+        order = np.argsort(-self.first.scores(x), axis=1, kind="stable")
+        inner = {p: np.argsort(-r.scores(x), axis=1, kind="stable") for p, r in self.second.items() if p in set(order[:, : self.first.probes].ravel().tolist())}
+        out = []
+        for i, parts in enumerate(order.tolist()):
+            must, rest = [], []
+            for n, p in enumerate(parts):
+                if p in self.second:
+                    subs = (inner[p][i] if p in inner else np.arange(len(self.second[p].weights[3]))).tolist()
+                else:
+                    subs = [0]
+                cut = self.second[p].probes if p in self.second else 1
+                (must if n < self.first.probes else rest).extend(p * WIDTH + s for s in subs[:cut])
+                rest.extend(p * WIDTH + s for s in subs[cut:])
+            total = sum(held.get(c, 0) for c in must)
+            for c in rest:
+                if total > k:
+                    break
+                must.append(c)
+                total += held.get(c, 0)
+            out.append(np.array([c for c in must if held.get(c, 0)], np.int64))
+        return out
+
+
+def _fitter(parts: dict[int, int], recall: float):
+    """Rows (part, v) of a partition's sample to (part, router): the second level, fitted on the executors."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        x = np.array(group.column("v").combine_chunks().flatten()).reshape(group.num_rows, -1)
+        found = fit(x, parts[part], recall)
+        found.weights, found.shift = [w.astype(np.float32) for w in found.weights], found.shift.astype(np.float32)
+        return pa.table({"part": pa.array([part], pa.int32()), "router": pa.array([pickle.dumps(found)], pa.binary())})
+
+    return run
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096, rows_per_part: int = 4096, recall: float = 0.98, block: int = 8192, width: int = WIDTH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) that is_query picks, the k nearest
     rows found among all others.
 
     The neighbour graph, its partitions and the router are fitted on `sample` rows, those with the smallest hash of
     vec_id; all rows are indexed, each in its most probable partition, of which there is one for each rows_per_part rows
-    (a power of two from 8 to 256). A query visits as many partitions as rows held back from the fit needed for `recall`, and more while
-    those hold fewer than k + 1 vectors. Partitions and their queries are dealt into blocks of bounded size, so that a
+    (a power of two from 8 to `width`). A partition that then holds more than twice rows_per_part rows has a graph, partitions
+    and a router of its own, fitted by a task on a sample of its own. So cells stay small up to width ** 2 * rows_per_part
+    rows, some 270 million; beyond that they grow, and nothing is left out. The routers, at most width + 1 of 160 KB, are
+    broadcast. A query visits as many partitions of each level as rows held back from the fit needed for `recall`, and
+    more while those hold no more than k vectors. A sample of fewer than 16 rows for each partition can teach no router:
+    then all rows are one partition, and the search is exact. Partitions and their queries are dealt into blocks of bounded size, so that a
     partition with any share of the rows is spread over tasks.
 
     Rows with the same vector are one entry with its k + 1 smallest ids; no others of them can be among the k nearest.
@@ -172,41 +238,61 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 4096
         return spark.createDataFrame([], shape)
     rows = rows.where(F.size("v") == lengths["n"]).select("vec_id", "v", "asks")
     base = rows.select("vec_id", "v").withColumn("place", F.expr("dense_rank() OVER (PARTITION BY v ORDER BY vec_id)")).where(F.col("place") <= k + 1).select("vec_id", "v").distinct()
+    base = cut(base)
     drawn = np.array([r[0] for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
     parts = 8
-    while parts < 256 and parts * rows_per_part < lengths["count"]:
+    while parts < width and parts * rows_per_part < lengths["count"]:
         parts *= 2
     if len(drawn) < 16 * parts:
         parts = 1
-    router = spark.sparkContext.broadcast(fit(drawn, parts, recall) if parts > 1 else None)
+    first = fit(drawn, parts, recall) if parts > 1 else None
+    shared = spark.sparkContext.broadcast(Tree(first, {}))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("v"))
-            part = router.value.scores(x).argmax(1) if router.value and len(x) else np.zeros(len(x))
+            part = shared.value.parts(_matrix(b.column("v")))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
     placed = cut(base.mapInArrow(home, "vec_id long, v array<double>, part int"))
-    held = dict(placed.groupBy("part").count().collect())
-    counts = np.array([held.get(p, 0) for p in range(parts)])
+    sizes = dict(placed.groupBy("part").count().collect())
+    large = {}
+    for p, n in sizes.items():
+        inner = 2
+        while inner < width and inner * rows_per_part < n:
+            inner *= 2
+        if first and n > 2 * rows_per_part and min(n, sample) >= 16 * inner:
+            large[p] = inner
+    second: dict[int, Router] = {}
+    if large:
+        by = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+        shares = spark.createDataFrame([(p, min(1.0, 2 * sample / sizes[p])) for p in large], "part int, share double")
+        near = placed.join(F.broadcast(shares), "part").where(by < F.col("share") * (1 << 40)).withColumn("h", by)  # at most `width` rows
+        ranked = near.withColumn("n", F.expr("row_number() OVER (PARTITION BY part ORDER BY h, vec_id)")).where(F.col("n") <= sample)
+        found = ranked.select("part", "v").groupBy("part").applyInArrow(_fitter(large, recall), "part int, router binary").collect()
+        second = {p: pickle.loads(r) for p, r in found}
+    tree = spark.sparkContext.broadcast(Tree(first, second))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            path = tree.value.home(_matrix(b.column("v")), np.array(b.column("part")))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(path.astype(np.int32))], names=["vec_id", "v", "part"])
+
+    if second:
+        placed = cut(placed.mapInArrow(inside, "vec_id long, v array<double>, part int"))
+        held = dict(placed.groupBy("part").count().collect())  # at most width ** 2 rows
+    else:
+        placed, held = placed.withColumn("part", F.col("part") * WIDTH), {p * WIDTH: n for p, n in sizes.items()}
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("v"))
-            if router.value and len(x):
-                order = np.argsort(-router.value.scores(x), axis=1, kind="stable")
-                enough = np.cumsum(counts[order], axis=1) - counts[order] < k + 1
-                go = (np.arange(parts) < router.value.probes) | enough
-                lists = [o[g].astype(np.int32) for o, g in zip(order, go, strict=True)]
-            else:
-                lists = [np.zeros(1, np.int32)] * len(x)
+            lists = [x.astype(np.int32) for x in tree.value.visits(_matrix(b.column("v")), held, k)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "v", "parts"])
 
     asked = rows.where("asks").select("vec_id", "v").distinct().mapInArrow(visits, "query_id long, v array<double>, parts array<int>")
-    asked = asked.select("query_id", "v", F.explode("parts").alias("part"))
+    asked = cut(asked.select("query_id", "v", F.explode("parts").alias("part")))
     asking = dict(asked.groupBy("part").count().collect())
-    deal = spark.createDataFrame([(p, max(1, -(-held.get(p, 0) // block)), max(1, -(-asking.get(p, 0) // 2048))) for p in range(parts)], "part int, n_base int, n_asked int")
-    deal = F.broadcast(deal)  # a row for each of at most 256 partitions
+    deal = spark.createDataFrame([(p, max(1, -(-n // block)), max(1, -(-asking.get(p, 0) // 2048))) for p, n in held.items()], "part int, n_base int, n_asked int")
+    deal = F.broadcast(deal)  # a row for each of at most width ** 2 partitions
     left = placed.join(deal, "part").select("part", F.expr("pmod(xxhash64(vec_id), n_base)").cast("int").alias("b"), F.explode(F.expr("sequence(0, n_asked - 1)")).alias("q"), "vec_id", "v")
     right = asked.join(deal, "part").select("part", F.explode(F.expr("sequence(0, n_base - 1)")).alias("b"), F.expr("pmod(xxhash64(query_id), n_asked)").cast("int").alias("q"), "query_id", "v")
     found_kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
