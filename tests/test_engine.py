@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.filters import ArrayFilter, EventFilter, FloatFilter, LocationFilter, StringFilter
 from wayfare.functions.geo import approximate
 from wayfare.functions.hashing import bucket_of, fnv_bucket
+from wayfare.functions.tables import literals
 from wayfare.functions.timing import duration_us, micros
 from wayfare.operators import aggregate, decode, dedup, latest, raw, rollup, segments
 from wayfare.operators.aggregate import Request
@@ -312,6 +313,7 @@ def test_scans_are_pruned(spark, tmp_path):
     found = plan(lake.signals(["s"], START, START + 60_000_000))
     filters = found[found.index("PartitionFilters") : found.index("PushedFilters")]
     assert "subject_bucket" in filters and "date" in filters and "version" in filters
+    assert lake.attach("t_") == ["t_signals", "t_signals_latest"] and spark.sql("SELECT count FROM t_signals_latest").first()[0] == 5
     t = Telemetry(lake.signals().withColumn("date", F.to_date("timestamp")), lake.signals())
     assert values(t.series([Request("speed", FloatAgg.MAX, alias="top")], "1m", "2026-06-01", "2026-06-02", ["s"]), "subject") == [("s",)]
     kept = plan(lake.rollup("rollup", [bucket_of("s")]))
@@ -409,6 +411,11 @@ def test_refuel_golden(spark):
     assert values(got, "start_us", "end_us") == [(START + 26 * MINUTE, START + 36 * MINUTE)]
 
 
+def test_literals(spark):
+    rows = [(1, "it's", "a\\b"), (-2, "", "x\ny\"")]
+    assert [tuple(r) for r in literals(spark, rows, ["a", "b", "c"]).collect()] == rows
+
+
 def test_ranges_with_a_buffer(spark):
     found = spark.createDataFrame([("s", 0, 10), ("s", 15, 30), ("s", 31, None)], "subject string, start_us long, end_us long")
     got = segments.as_ranges(found, 50, 6).select("seg_idx", F.unix_micros("end").alias("end"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.filters import FloatFilter, LocationFilter, StringFilter
 from wayfare.functions.geo import has_fix
+from wayfare.functions.tables import literals
 from wayfare.functions.timing import between, bucket_us
 from wayfare.operators import dedup
 from wayfare.schema import LOCATION, FloatAgg, LocationAgg, StringAgg
@@ -52,7 +53,7 @@ def _slots(requests: list[Request]) -> list[tuple[int, int, Request]]:
 def _requested(df: DataFrame, requests: list[Request]) -> DataFrame:
     """A row for each request of the row's name. The requests are as many as the query names, and known here."""
     rows = [(k, i, r.name, r.agg.value) for k, i, r in _slots(requests)]
-    asked = df.sparkSession.createDataFrame(rows, "signal_type int, signal_index int, name string, fn string")
+    asked = literals(df.sparkSession, rows, ["signal_type", "signal_index", "name", "fn"])
     out = df.join(F.broadcast(asked), "name")
     return out.withColumn("_rand", F.rand()) if any(r.agg.value == "RAND" for r in requests) else out
 
@@ -117,16 +118,17 @@ def hull(ranges: DataFrame) -> tuple[int, int] | None:
     return None if first is None else (first, last)
 
 
-def within(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    bounds = hull(ranges)
+def within(rows: DataFrame, ranges: DataFrame, bounds: tuple[int, int] | None) -> DataFrame:
+    bounds = bounds or hull(ranges)
     return rows.where(between("timestamp", *bounds)) if bounds else rows.where(F.lit(False))
 
 
-def by_range(signals: DataFrame, requests: list[Request], ranges: DataFrame) -> DataFrame:
+def by_range(signals: DataFrame, requests: list[Request], ranges: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
     """(subject, seg_idx, signal_type, signal_index, values...) for ranges (subject, seg_idx, start, end), end exclusive.
     A row counts for the first range of its subject that holds it. No value filters; locations without a fix count. Only
-    rows between the first start and the last end are read."""
-    rows = dedup.signals(within(signals, ranges), [r.name for r in requests])
+    rows within bounds (microseconds; the first start and the last end, which are looked for if they aren't given) are
+    read."""
+    rows = dedup.signals(within(signals, ranges, bounds), [r.name for r in requests])
     held = _requested(in_first_range(rows, ranges, dedup.SIGNAL_KEY), requests)
     return held.groupBy("subject", "seg_idx", "signal_type", "signal_index").agg(*_measures(requests))
 
@@ -149,7 +151,7 @@ def in_first_range(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFr
 def as_objects(rows: DataFrame, requests: list[Request]) -> DataFrame:
     """(subject, bucket_us, numbers, strings, places): maps from alias to value, one row for each bucket."""
     alias = [(k, i, r.alias or f"{r.name}_{r.agg.value}") for k, i, r in _slots(requests)]
-    names = rows.sparkSession.createDataFrame(alias, "signal_type int, signal_index int, alias string")
+    names = literals(rows.sparkSession, alias, ["signal_type", "signal_index", "alias"])
     one = lambda kind, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("signal_type") == kind, F.struct(F.col("alias"), value.alias("v"))))))
     named = rows.join(F.broadcast(names), ["signal_type", "signal_index"])
     return named.groupBy("subject", "bucket_us").agg(one(FLOAT, F.col("value_number")).alias("numbers"), one(STRING, F.col("value_string")).alias("strings"), one(PLACE, F.struct(*LOCATION)).alias("places"))

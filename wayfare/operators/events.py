@@ -24,9 +24,10 @@ def counts(events: DataFrame, start: int, end: int, names: list[str] | None = No
     return rows.select(*dedup.EVENT_KEY).distinct().groupBy("subject", "name").agg(F.count("*").alias("count"))
 
 
-def counts_by_range(events: DataFrame, ranges: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(subject, seg_idx, name, count); each event counts in the first range that holds it."""
-    rows = within(events if not names else events.where(F.col("name").isin(names)), ranges)
+def counts_by_range(events: DataFrame, ranges: DataFrame, names: list[str] | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """(subject, seg_idx, name, count); each event counts in the first range that holds it. Only events within bounds (see
+    by_range) are read."""
+    rows = within(events if not names else events.where(F.col("name").isin(names)), ranges, bounds)
     keys = rows.select(*dedup.EVENT_KEY).distinct()
     return in_first_range(keys, ranges, dedup.EVENT_KEY).groupBy("subject", "seg_idx", "name").agg(F.count("*").alias("count"))
 

@@ -19,6 +19,7 @@ from wayfare.functions.timing import at, between
 from wayfare.operators import dedup
 
 SECOND = 1_000_000
+LOOKBACK = 30 * 86_400 * SECOND  # how long before a range transitions are looked for
 SEGMENT = ["subject", "start_us", "end_us", "duration_s", "ongoing", "started_before"]
 REFUEL_WINDOW, REFUEL_SEARCH = 300 * SECOND, 1800 * SECOND
 CHARGE_SMOOTH, CHARGE_ODOMETER, CHARGE_GAP = 11, 0.5, 7200 * SECOND
@@ -124,7 +125,7 @@ def state_changes(samples: DataFrame, start: int, end: int, lookback: int) -> Da
 def ignition(samples: DataFrame, start: int, end: int, config: Config) -> DataFrame:
     """Segments from ON to OFF of samples (subject, timestamp, value 0/1). An OFF with an ON less than max_gap later is
     noise. An open segment lasts to the end and is ongoing."""
-    changes = state_changes(samples, start, end, 30 * 86_400 * SECOND)
+    changes = state_changes(samples, start, end, LOOKBACK)
     later = W.partitionBy("subject").orderBy("timestamp").rowsBetween(1, W.unboundedFollowing)
     us = F.unix_micros("timestamp")
     kept = changes.withColumn("us", us).withColumn("_on", F.min(F.when(F.col("state") == 1, us)).over(later))

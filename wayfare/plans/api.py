@@ -19,7 +19,7 @@ from wayfare.streaming.ingest import pruning
 MOST_DAYS, MOST_AGGREGATES = 32, 65_535
 ETHEREUM = re.compile(r"did:ethr:\d+:(0x[0-9a-fA-F]{40})")
 EVENT_NAME, EVENT_PREFIX = re.compile(r"[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]*"), re.compile(r"[A-Za-z][A-Za-z0-9]*\.(?:[A-Za-z][A-Za-z0-9]*)?")
-SUMMARY_BUFFER = 120_000_000  # levels of a refuelling or charge may come just after it
+DAY, SUMMARY_BUFFER = 86_400_000_000, 120_000_000  # levels of a refuelling or charge may come just after it
 
 #: The signals that describe a segment of any kind, and what is added for some.
 SUMMARY = [Request("speed", FloatAgg.MAX), Request("currentLocationCoordinates", LocationAgg.FIRST), Request("currentLocationCoordinates", LocationAgg.LAST)]
@@ -122,7 +122,7 @@ class Telemetry:
     def series(self, requests: list[Request], interval: str, start: str, end: str, subjects: list[str] | None = None, source: str | None = None) -> DataFrame:
         a, b = span(start, end)
         rows = aggregate.by_interval(self._own(self.signals, subjects, a, b), checked(requests), a, b, duration_us(interval), source and source_address(source))
-        return aggregate.as_objects(rows, requests)
+        return aggregate.as_objects(rows, requests).orderBy("subject", "bucket_us")
 
     def latest(self, names: list[str] | None = None, subjects: list[str] | None = None, source: str | None = None) -> DataFrame:
         if self.rollup is not None and source is None:
@@ -132,8 +132,8 @@ class Telemetry:
 
     def available(self, known: list[str], subjects: list[str] | None = None, source: str | None = None) -> DataFrame:
         if self.rollup is not None and source is None:
-            return self._own(self.rollup, subjects).where(F.col("name").isin(known)).select("subject", "name")
-        return latest.names(self._own(self.signals, subjects), source, known)
+            return self._own(self.rollup, subjects).where(F.col("name").isin(known)).select("subject", "name").orderBy("subject", "name")
+        return latest.names(self._own(self.signals, subjects), source, known).orderBy("subject", "name")
 
     def snapshot(self, subjects: list[str] | None = None, privileges: DataFrame | None = None, held: list[str] | None = None) -> DataFrame:
         rows = latest.snapshot(self._own(self.signals, subjects))
@@ -185,11 +185,13 @@ class Telemetry:
         longer = segments.as_ranges(found, last, SUMMARY_BUFFER) if mechanism in (Mechanism.REFUEL, Mechanism.RECHARGE) else ranges
         asked = checked(list({(r.name, r.agg): r for r in [*(extra or []), *MORE.get(mechanism, []), *SUMMARY][::-1]}.values())[::-1])
         signals = self._own(self.signals, subjects)
-        values = aggregate.by_range(signals, asked, longer)
-        return Enriched(found, ranges, asked, values, self._counts(ranges, event_names, subjects), enrich.boundary_locations(ranges, *_sides(values, asked), signals, [PLACE]))
+        a, _ = span(start, end, now)
+        bounds = (a - segments.LOOKBACK if mechanism is Mechanism.IGNITION else a, last + SUMMARY_BUFFER)
+        values = aggregate.by_range(signals, asked, longer, bounds)
+        return Enriched(found, ranges, asked, values, self._counts(ranges, event_names, subjects, bounds), enrich.boundary_locations(ranges, *_sides(values, asked), signals, [PLACE]))
 
-    def _counts(self, ranges: DataFrame, names: list[str] | None, subjects: list[str] | None) -> DataFrame:
-        found = events.counts_by_range(self._own(self.events, subjects), ranges, names)
+    def _counts(self, ranges: DataFrame, names: list[str] | None, subjects: list[str] | None, bounds: tuple[int, int]) -> DataFrame:
+        found = events.counts_by_range(self._own(self.events, subjects), ranges, names, bounds)
         return enrich.event_summary(ranges, found, names) if names else found
 
     def daily(self, mechanism: Mechanism, start: str, end: str, zone: str = "UTC", config: segments.Config | None = None, event_names: list[str] | None = None, extra: list[Request] | None = None, subjects: list[str] | None = None) -> Daily:
@@ -204,13 +206,15 @@ class Telemetry:
         people = signals.where(between("timestamp", a, b)).select("subject").unionByName(found.select("subject"))
         ranges = segments.by_day(people, days)
         asked = checked(list({(r.name, r.agg): r for r in [*(extra or []), *SUMMARY][::-1]}.values())[::-1])
-        values = aggregate.by_range(signals, asked, ranges)
+        bounds = (a - 2 * DAY, b + 2 * DAY)  # civil days of any zone
+        values = aggregate.by_range(signals, asked, ranges, bounds)
         spans = segments.as_ranges(found, b)
-        places = enrich.boundary_locations(spans, *_sides(aggregate.by_range(signals, SUMMARY, spans), SUMMARY), signals, [PLACE])
+        own = aggregate.by_range(signals, SUMMARY, spans, (a - segments.LOOKBACK if mechanism is Mechanism.IGNITION else a, b))
+        places = enrich.boundary_locations(spans, *_sides(own, SUMMARY), signals, [PLACE])
         numbered = found.join(spans.select("subject", "seg_idx", F.unix_micros("start").alias("start_us")), ["subject", "start_us"])
         edges = enrich.day_edges(numbered.select("subject", "seg_idx", "start_us", "end_us"), places, days)
         rows = enrich.daily(ranges, segments.daily_activity(found, days), edges, *_sides(values, asked), signals, [PLACE])
-        return Daily(rows, asked, values, self._counts(ranges, event_names, subjects))
+        return Daily(rows, asked, values, self._counts(ranges, event_names, subjects, bounds))
 
     def locations_at(self, probes: DataFrame, names: list[str]) -> DataFrame:
         """Probes without a fix get (0, 0)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -542,8 +543,9 @@ def _envelopes(spark, d) -> DataFrame:
     return fixtures.status_payloads(spark, d).unionByName(fixtures.event_payloads(spark, d))
 
 
+@cache
 def _ingested(spark, d) -> Lake:
-    """Two batches of a stream, the first of them twice, a backfill of what they left out and of some that they didn't,
+    """One lake for all queries of a run. Two batches of a stream, the first of them twice, a backfill of what they left out and of some that they didn't,
     and a third batch."""
     rows = _envelopes(spark, d)
     part = lambda *k: rows.where(F.pmod(F.xxhash64("id"), F.lit(4)).isin(*k))

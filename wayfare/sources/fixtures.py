@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 from wayfare.functions.hashing import fnv_bucket
 
 
+#: Of the flat table; a scan whose schema is known starts no job to find it.
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").withColumn("timestamp", F.col("ts").cast("timestamp"))
 
 
 def _subject() -> Column:
@@ -134,8 +139,17 @@ def repeated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or, only where none is named and all runs on one machine, here."""
+    """A new folder in the shared checkpoint folder, or, only where none is named and all runs on one machine, here. It is
+    deleted when the driver's process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-    return f"{named or tempfile.gettempdir()}/wayfare-{uuid.uuid4().hex}"
+    path = f"{named or tempfile.gettempdir()}/wayfare-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
