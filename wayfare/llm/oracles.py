@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from wayfare.llm.licenses import PHRASES, TEMPLATES, sequence, tokens
+from wayfare.llm.secrets import ACCESS, ALPHABETS, ASSIGN, BINS, CANDIDATE, HALF, HEX
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
@@ -69,5 +76,34 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_base,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(n.l, []), coalesce(s.l, [])))), ',') AS labels,
        CASE WHEN n.n > 0 THEN 1.0 ELSE coalesce(s.share, 0) END::DOUBLE AS score
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+""",
+    "op3_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS kind, string_split_regex(t, {_quoted(x)}) AS p, regexp_extract_all(t, {_quoted(x)}) AS m, regexp_extract_all(t, {_quoted(x)}, {g}) AS g FROM d WHERE regexp_matches(t, {_quoted(x)})" for i, (x, g) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (CANDIDATE, 0))))}),
+s AS (SELECT doc_id, kind, (list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n, g[i] AS part
+      FROM k, unnest(range(1, len(m) + 1)) AS u(i)),
+base AS (SELECT doc_id, kind, a, a + n AS b FROM s WHERE kind IN (1, 2) OR kind = 0 AND length(part) >= 6),
+cand AS (SELECT *, row_number() OVER () AS id, CASE {" ".join(f"WHEN translate(part, '{x}', '') = '' THEN '{x}'" for x in ALPHABETS.values())} ELSE '{"".join(sorted(set("".join(ALPHABETS.values()))))}' END AS al
+         FROM s WHERE kind = 3 AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]')),
+ch AS (SELECT id, n::DOUBLE AS n, length(al)::DOUBLE AS k, i, part[i] AS c, instr(al, part[i]) - 1.0::DOUBLE AS v, instr(al, part[i + 1]) - 1.0::DOUBLE AS w, i < n AS more FROM cand, unnest(range(1, n + 1)) AS u(i)),
+sq AS (SELECT id, sum(x * x)::DOUBLE AS squares FROM (SELECT id, c, count(*) AS x FROM ch GROUP BY ALL) GROUP BY id),
+mo AS (SELECT id, any_value(n) AS n, any_value(k) AS k, avg(v) AS mean, count(*) FILTER (v >= k / 2)::DOUBLE AS h, 1.0 + count(*) FILTER (more AND (v >= k / 2) <> (w >= k / 2)) AS turns FROM ch GROUP BY id),
+se AS (SELECT id, sum((v - mean) * (v - mean)) AS power, sum((v - mean) * (w - mean)) FILTER (more) AS lag FROM ch JOIN mo USING (id) GROUP BY id),
+st AS (SELECT id, n, 2 * h * (n - h) AS pairs, turns, (lag / greatest(power, 1e-9) + 1 / n) * sqrt(n) AS z3,
+              (pow(greatest(squares * k / n - n, 0) / (k - 1), 1 / 3::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1 FROM mo JOIN sq USING (id) JOIN se USING (id)),
+zs AS (SELECT id, n, unnest([z1, (turns - (pairs / n + 1)) / sqrt(greatest(pairs * (pairs - n) / (n * n * (n - 1)), 1e-9)), z3]) AS z FROM st),
+ps AS (SELECT id, n, 1 / (1 + 0.2316419 * abs(z)) AS t, exp(-z * z / 2) / 2.5066282746310002 AS phi FROM zs),
+ys AS (SELECT id, any_value(n) AS n, -sum(ln(least(1, greatest(1e-100, 2 * phi * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))))) AS y FROM ps GROUP BY id),
+bi AS (SELECT id, (CASE WHEN n >= 64 THEN 2 WHEN n >= 32 THEN 1 ELSE 0 END) AS cl, greatest(0, least({BINS}, floor(20 * (y - ln(1 + y + y * y / 2)))))::INTEGER AS bin FROM ys),
+co AS (SELECT cl, bin, count(*) AS x FROM bi GROUP BY ALL),
+cu AS (SELECT cl, bin, sum(x) OVER (PARTITION BY cl ORDER BY bin) AS taken, coalesce(sum(x) FILTER (bin < {HALF}) OVER (PARTITION BY cl), 0) / (1 - exp(-{HALF} / 20::DOUBLE)) AS drawn FROM co),
+mx AS (SELECT cl, max(bin) AS most FROM cu WHERE 1 - drawn * (1 - exp(-(bin + 1) / 20::DOUBLE)) / taken <= 0.05 GROUP BY cl),
+found AS (SELECT doc_id, kind, a, b FROM base UNION ALL
+          SELECT doc_id, 3, a, a + n FROM cand JOIN bi USING (id) JOIN mx USING (cl) WHERE bin <= most AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = cand.doc_id AND base.a < cand.a + cand.n AND cand.a < base.b)),
+told AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || a || ':' || b AS said FROM found),
+sums AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+                string_agg(said, ',' ORDER BY a, kind, b) FILTER (kind < 3) AS own, string_agg(said, ',' ORDER BY a, kind, b) AS every FROM told GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN sums USING (doc_id)
 """,
 }
