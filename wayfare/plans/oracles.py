@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayfare.functions.geo import FACES, STEP
+from wayfare.functions.timing import micros
 from wayfare.plans.queries import DAY, END, HOUR, ODD, RING, START, WATERMARK
 
 SIG = """
@@ -332,6 +333,16 @@ SELECT subject, epoch_us(time) AS time, type, id, source FROM p QUALIFY sum(leng
         *FREQUENCY,
         "dy AS (SELECT day, epoch_us(day) + 18000000000 AS day_start, epoch_us(day) + 104400000000 AS day_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS day))",
     ),
+    "rollup_new_keys": _with(f"SELECT subject, name, count(*) AS count FROM ded WHERE epoch_us(timestamp) >= {START} AND (name = 'click' OR epoch_us(timestamp) >= {WATERMARK}) GROUP BY ALL"),
+    "raw_cloud_search": _raw(f"subject IN ('did:test:3', 'did:test:8') AND type = 'fleet.status' AND source = 'src-1' AND epoch_us(time) > {START} AND epoch_us(time) < {END}"),
+    "raw_restored": _raw("true", "", """subject, id, type, source, epoch_us(time) AS time, CASE WHEN producer <> 'prod-0' THEN to_json(tags)::VARCHAR END AS tags, producer = 'prod-0' AS malformed"""),
+    "feed_lag": f"""WITH {RAW}, a AS (SELECT ({micros("2024-02-10")} - epoch_us(time)) / 1000000 AS age FROM r)
+SELECT count(*) AS n, round(max(age), 4) AS oldest_s, round(quantile_cont(age, 0.5), 4) AS median_s, round(quantile_cont(age, 0.95), 4) AS p95_s, round(avg(CASE WHEN age > 300 THEN 1.0 ELSE 0 END), 4) AS late_share FROM a""",
+    "signals_default_aggs": _with(
+        f"""SELECT subject, {_bucket(DAY)} AS bucket_us, 1::INTEGER AS signal_type, round(avg(value_number), 6) AS value_number, 0::DOUBLE AS loc_lat, 0::DOUBLE AS loc_lon FROM ded WHERE name = 'click' AND {IN} GROUP BY 1, 2
+ UNION ALL SELECT subject, {_bucket(DAY)}, 3, 0, arg_min(loc_lat, timestamp), arg_min(loc_lon, timestamp) FROM ded WHERE name = 'view' AND {FIX} AND {IN} GROUP BY 1, 2"""
+    ),
+    "privilege_one_of": _with("SELECT DISTINCT subject, name FROM sig WHERE name IN ('click', 'purchase')"),
     "subject_buckets": _with(
         """SELECT subject, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, len(subject) + 1), lambda i: ascii(subject[i])::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 256)::INTEGER AS subject_bucket
  FROM (SELECT DISTINCT subject FROM sig)"""

@@ -18,7 +18,7 @@ from wayfare.operators.raw import Search
 from wayfare.plans import serving
 from wayfare.schema import LOCATION, FloatAgg, LocationAgg, StringAgg
 from wayfare.sources import fixtures
-from wayfare.streaming.ingest import Lake, backfill, page
+from wayfare.streaming.ingest import Lake, backfill, lag, page
 
 START, END = micros("2024-01-05"), micros("2024-01-12")
 ODD = micros("2024-01-05T00:37:13")
@@ -630,3 +630,44 @@ def daily_summary(spark, d):
     out = ranges.join(active, ["subject", "day"], "left").join(counts, ["subject", "seg_idx"])
     zero = F.lit(0).cast("bigint")
     return out.select("subject", F.col("day").cast("string").alias("day"), F.coalesce("n_segments", zero).alias("n_segments"), F.coalesce("active_s", zero).alias("active_s"), "click", "signup")
+
+
+@query
+def rollup_new_keys(spark, d):
+    s = fixtures.signals(spark, d)
+    rows = rollup.new_keys(s.where(F.col("timestamp") >= at(START)), s.where((F.col("name") != "click") & (F.col("timestamp") < at(WATERMARK))))
+    return rows.groupBy("subject", "name").agg(F.count("*").alias("count"))
+
+
+@query
+def raw_cloud_search(spark, d):
+    """As a call for one subject: a type or another, and a source."""
+    found = [raw.found(fixtures.raw(spark, d), Search.cloud(f"did:test:{i}", "fleet.status", ["fleet.none"], after="2024-01-05", before="2024-01-12", source="src-1")) for i in (3, 8)]
+    return _raw(found[0].unionByName(found[1]))
+
+
+@query
+def raw_restored(spark, d):
+    rows = raw.restored(raw.found(fixtures.raw(spark, d), EVERYTHING).withColumn("extras", F.when(F.col("producer") == "prod-0", F.concat(F.lit("["), "extras")).otherwise(F.col("extras"))))
+    return _us(rows.select("subject", "id", "type", "source", "time", F.to_json("tags").alias("tags"), "malformed"), "time")
+
+
+@query
+def feed_lag(spark, d):
+    rows = lag(fixtures.raw(spark, d), micros("2024-02-10"))
+    return rows.select("n", *[F.round(c, 4).alias(c) for c in ("oldest_s", "median_s", "p95_s", "late_share")])
+
+
+@query
+def signals_default_aggs(spark, d):
+    """Aggregates that nobody knows: of numbers the average, of locations the first."""
+    asked = [Request.of("click", aggregate.FLOAT, "WHAT"), Request.of("view", aggregate.PLACE, "")]
+    rows = aggregate.by_interval(fixtures.signals(spark, d), asked, START, END, DAY)
+    return rows.select("subject", "bucket_us", "signal_type", F.round("value_number", 6).alias("value_number"), "loc_lat", "loc_lon")
+
+
+@query
+def privilege_one_of(spark, d):
+    needs = [(n, ["read"] if i % 2 else ["locate", "write"]) for i, n in enumerate(NAMES[:4])]
+    held = latest.allowed(latest.names(fixtures.signals(spark, d)), spark.createDataFrame(needs, "name string, needs array<string>"), ["write", "other"], one=True)
+    return held.select("subject", "name")
